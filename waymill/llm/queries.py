@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, hmm, packing
+from . import bpe, exact, hmm, lines, oracles, packing, quality
 
 #: The vocabulary file, by its place in the installed package.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,9 +30,23 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_documents(spark, sf_dir)).drop("host", "row", "removed_chars")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.deduplicated(_documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("text_sha256", F.sha2(exact.bare(F.col("text")), 256))
+    return exact.groups(docs, carry=["text_sha256"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_best_fit_packing, op5_bpe_codec)}
+    return {f.__name__: f for f in (op1_lm_scoring, op3_best_fit_packing, op5_bpe_codec, op7_line_frequency, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_frequency": oracles.QUALITY, "op9_line_dedup": oracles.LINES, "op10_exact_dedup": oracles.EXACT}
