@@ -1,21 +1,53 @@
-"""The corpus pipeline: stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written and read again as the next one's input.
+
+Every stage works on all rows of its input. Nulls, empty texts, repeated rows and empty tables are handled as
+the operators say; rows whose ids are equal are separate documents unless their texts make them duplicates.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymill.llm import common, packing
+from waymill.llm import common, exact, jaccard, packing, quality, secrets
 from waymill.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Documents whose id is among those of verdict."""
+    ids = verdict.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return _kept(docs, quality.judged(docs).filter("kept"))
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts one stays."""
+    return _kept(docs, exact.groups(docs).filter("kept")).dropDuplicates(["doc_id"])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the smallest id stays."""
+    return _kept(docs, jaccard.clustered(docs, n=5, percent=80).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mark; n_chars follows the text."""
+    done = secrets.redacted(docs.select(*COLUMNS))
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     return packing.best_fit_packed(docs, TOKENIZER)
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [("quality_rules", rules), ("exact_dedup", copies), ("ngram_jaccard", near_copies), ("secret_scan", redact), ("best_fit_packing", pack)]
 
 #: Secret scanning and packing are beyond SQL.
 ORACLE_SQL = None
