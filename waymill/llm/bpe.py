@@ -11,6 +11,8 @@ empty result. Other columns are left behind, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -23,11 +25,10 @@ from tokenizers import Tokenizer
 from . import common as C
 from . import vocabulary as V
 
-#: The splitting of the tokenizer file, for words whose characters are all below PLAIN_END.
+#: The splitting of the tokenizer file, for words of PLAIN characters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-#: Characters below this, but ODD, are in normal form C, and lower case is one to one.
-PLAIN_END = "ɐ"
-ODD = regex.compile("[\x00-\x20\x7f-\xa0İ]")
+#: Characters that are in normal form C, no white space, and whose lower case is one to one.
+PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]*")
 
 
 @cache
@@ -42,24 +43,28 @@ def _byte_letters() -> list[str]:
 class WordEncoder:
     """ids of a word without white space, exactly as the tokenizer gives them for any text that holds it.
 
-    remember bounds the words and the pieces of words that are kept; what is forgotten is encoded again.
+    Words and parts of words are kept in two generations of at most remember each: when the new one is full it
+    becomes the old one, and what the old one had and was not asked for is forgotten, to be encoded again.
     """
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.remember, self.words, self.parts = remember, {}, {}
+        self.model, self.remember = self.tokenizer.model, remember
+        self.words, self.old_words, self.parts, self.old_parts = {}, {}, {}, {}
         self.split = regex.compile(SPLIT).findall
 
-    def part(self, part: str) -> tuple[int, ...]:
-        """ids of one run of letters, one digit or one run of signs."""
+    def part(self, part: str) -> bytes:
+        """ids of one run of letters, one digit or one run of signs, in lower case."""
         ids = self.parts.get(part)
         if ids is None:
-            letters = _byte_letters()
-            ids = tuple(t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else "".join(letters[b] for b in part.encode())))
+            ids = self.old_parts.get(part)
+            if ids is None:
+                shown = part if part.isascii() else "".join([_byte_letters()[b] for b in part.encode()])
+                ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.parts) >= self.remember:
-                self.parts.clear()
+                self.parts, self.old_parts = {}, self.parts
             self.parts[part] = ids
         return ids
 
@@ -67,20 +72,24 @@ class WordEncoder:
         """ids as little-endian unsigned 32-bit integers."""
         got = self.words.get(word)
         if got is None:
-            text = word.decode("utf-8", "replace")
-            if "<|" in text or max(text, default="") >= PLAIN_END or ODD.search(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                ids = [i for p in self.split(text.lower()) for i in self.part(p)]
-            got = np.array(ids, "<u4").tobytes()
+            got = self.old_words.get(word)
+            if got is None:
+                if word.isalpha():  # of bytes: A-Z and a-z only
+                    got = self.part(word.decode().lower())
+                else:
+                    text = word.decode("utf-8", "replace")
+                    if PLAIN.fullmatch(text) and "<|" not in text:
+                        got = b"".join([self.part(p) for p in self.split(text.lower())])
+                    else:
+                        got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             if len(self.words) >= self.remember:
-                self.words.clear()
+                self.words, self.old_words = {}, self.words
             self.words[word] = got
         return got
 
     def text(self, text: bytes) -> bytes:
         """ids of a whole text."""
-        known, encode = self.words.get, self.encode
+        known, encode = self.words.get, self.encode  # known may become the old generation on the way
         return b"".join([known(w) or encode(w) for w in text.split()])
 
 
@@ -105,7 +114,7 @@ _FINISHED = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("sizes", p
 def _shard_encoder(path: str):
     def answer(shard, lists):
         own = encoder(path)
-        own.words.clear()
+        own.words, own.old_words, own.parts, own.old_parts = {}, {}, {}, {}
         own.remember = 1 << 62  # all distinct words of one shard
         for block, vocab, _ in lists:
             found = [own.encode(w) for w in C.unpack(vocab).split(b"\n")]
