@@ -229,7 +229,7 @@ def reconcile_merge(spark, sf_dir):
 
 @query()
 def merge_report(spark, sf_dir):
-    return G.merged(V.devices(spark, sf_dir), window_s=MOMENT_S, radius_m=MOMENT_M, gap_s=V.GAP_S)[1]
+    return G.merged(V.devices(spark, sf_dir).cache(), window_s=MOMENT_S, radius_m=MOMENT_M, gap_s=V.GAP_S)[1]
 
 
 @query(f"""WITH {V.DEV}, tracks AS (SELECT group_id, input_idx, row_number() OVER (PARTITION BY group_id ORDER BY min(t), input_idx) - 1 AS track_idx FROM dev GROUP BY group_id, input_idx)
@@ -252,7 +252,7 @@ def merge_extras(spark, sf_dir):
 
 
 # Exercise logs: every signup, as long as its props say in minutes. Fixes: all other events, on their own days.
-_LOGS = f"{V.FIX}, logs AS (SELECT event_id AS log_id, 'Type ' || trace_id::BIGINT % 7 AS name, ts AS start, heart_rate * 60000 * 30 AS duration_ms, event_id % 3 > 0 AS has_gps, t FROM fix WHERE source = 'signup'), other AS (SELECT *, ts::DATE AS day FROM fix WHERE source <> 'signup')"
+_LOGS = f"{V.FIX}, logs AS (SELECT event_id AS log_id, 'Type ' || trace_id::BIGINT % 7 AS name, ts AS start, heart_rate::BIGINT * 60000 * 30 AS duration_ms, event_id % 3 > 0 AS has_gps, t FROM fix WHERE source = 'signup'), other AS (SELECT *, ts::DATE AS day FROM fix WHERE source <> 'signup')"
 _TOUCHED = "touched AS (SELECT *, unnest(generate_series(make_timestamp(s)::DATE, make_timestamp(e)::DATE, INTERVAL 1 DAY))::DATE AS day FROM (SELECT log_id, t AS s, t + duration_ms * 1000 AS e FROM logs WHERE has_gps))"
 
 
