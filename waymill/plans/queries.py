@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from ..operators import activities as A
 from ..operators import cleaning as K
 from ..operators import measures as M
 from ..operators import merging as G
+from ..operators import points as P
+from ..operators import rendering as R
+from ..sources import formats as S
 from . import trace_view as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,14 +245,12 @@ def concat_tracks(spark, sf_dir):
 @query(f"""WITH {V.FIX}, n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts, event_id) AS i FROM fix)
 SELECT a.event_id, a.lat, a.lon, coalesce(CASE WHEN a.event_id % 3 > 0 THEN a.ele END, CASE WHEN b.event_id % 2 > 0 THEN b.ele END) AS ele, coalesce(CASE WHEN a.event_id % 2 > 0 THEN a.heart_rate END, b.heart_rate) AS heart_rate FROM n a JOIN n b ON a.trace_id = b.trace_id AND b.i = a.i + 1""")
 def merge_extras(spark, sf_dir):
-    from ..operators.points import complete, merged_extras
-
     w = Window.partitionBy("trace_id").orderBy("wall", "event_id")
-    n = complete(V.fixes(spark, sf_dir).withColumn("i", F.row_number().over(w)).drop("wall"))
+    n = P.complete(V.fixes(spark, sf_dir).withColumn("i", F.row_number().over(w)).drop("wall"))
     a = n.withColumns({"ele": F.when(F.col("event_id") % 3 > 0, F.col("ele")), "heart_rate": F.when(F.col("event_id") % 2 > 0, F.col("heart_rate")), "j": F.col("i") + 1})
     b = n.withColumn("ele", F.when(F.col("event_id") % 2 > 0, F.col("ele"))).withColumn("j", F.col("i"))
     pairs = a.alias("a").join(b.alias("b"), (F.col("a.trace_id") == F.col("b.trace_id")) & (F.col("a.j") == F.col("b.j")))
-    return pairs.select(F.col("a.event_id").alias("event_id"), *[c for c in merged_extras("a", "b")]).select("event_id", "lat", "lon", "ele", "heart_rate")
+    return pairs.select(F.col("a.event_id").alias("event_id"), *P.merged_extras("a", "b")).select("event_id", "lat", "lon", "ele", "heart_rate")
 
 
 # Exercise logs: every signup, as long as its props say in minutes. Fixes: all other events, on their own days.
@@ -335,3 +337,79 @@ def equirectangular(spark, sf_dir):
     mid = M.bounds(f).select("trace_id", ((F.col("min_lat") + F.col("max_lat")) / 2).alias("lat0"))
     x, y = geo.equirectangular(F.col("lat"), F.col("lon"), F.col("lat0"))
     return f.join(mid, "trace_id").select("event_id", F.round(x, 9).alias("x"), y.alias("y"))
+
+
+# The map image of the drawing queries: 64 x 48 pixels over the middle of the traces.
+BASE = R.Basemap(64, 48, -122.31, 47.59, -122.29, 47.61)
+_LEFT, _TOP, _WIDE, _HIGH = map(float, BASE.frame)
+_PX = f"""SELECT *, ((lon + 180) / 360 - {_LEFT!r}::DOUBLE) / {_WIDE!r}::DOUBLE * 64 AS px, (0.5 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / (2 * pi()) - {_TOP!r}::DOUBLE) / {_HIGH!r}::DOUBLE * 48 AS py FROM"""
+
+
+@query(f"WITH {V.FIX} SELECT event_id, round(px, 6) AS px, round(py, 6) AS py FROM ({_PX} fix)")
+def pixel_coords(spark, sf_dir):
+    return R.projected(V.fixes(spark, sf_dir), BASE).select("event_id", *_round("px", "py", digits=6))
+
+
+@query(f"""WITH {V.PTS}, pix AS ({_PX} pts), l AS (SELECT lag(px) OVER w AS a, lag(py) OVER w AS b, px, py, lead(px) OVER w AS nx FROM pix WINDOW w AS (PARTITION BY trace_id, seg_idx ORDER BY pt_idx)),
+st AS (SELECT coalesce(a, px) AS x0, coalesce(b, py) AS y0, px AS x1, py AS y1 FROM l WHERE a IS NOT NULL OR nx IS NULL), sq AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, (x1 - x0) ^ 2 + (y1 - y0) ^ 2 AS q FROM st),
+cells AS (SELECT x, y, x0, y0, dx, dy, CASE WHEN q = 0 THEN 0 ELSE least(1, greatest(0, ((x + 0.5 - x0) * dx + (y + 0.5 - y0) * dy) / q)) END AS t FROM sq, range(64) u(x), range(48) v(y)),
+d AS (SELECT x, y, min(sqrt((x + 0.5 - x0 - t * dx) ^ 2 + (y + 0.5 - y0 - t * dy) ^ 2)) AS d FROM cells GROUP BY x, y)
+SELECT x::INTEGER AS x, y::INTEGER AS y, round(least(1, 2.0 - d), 6)::DOUBLE AS coverage FROM d WHERE d < 2.0""")
+def coverage_mask(spark, sf_dir):
+    p = R.projected(V.points(spark, sf_dir), BASE)
+    return R.coverage(R.strokes(p), BASE.width, BASE.height, *R.stroke_shape(R.TRACK_WIDTH)).select("x", "y", *_round("coverage", digits=6))
+
+
+@query()
+def fog_render(spark, sf_dir):
+    base = R.Basemap(800, 600, -122.31, 47.59, -122.29, 47.61)
+    return R.fog_cover(R.projected(V.points(spark, sf_dir), base), base, 25.0).select("x", "y", *_round("coverage"))
+
+
+_SNIFF = """CASE WHEN substr(c, 9, 4) = '.FIT' THEN 'fit' WHEN substr(h, 1, 1) IN ('{', '[') THEN 'geojson' WHEN starts_with(h, '<') THEN CASE WHEN contains(h, '<gpx') THEN 'gpx' WHEN contains(h, '<TrainingCenterDatabase') THEN 'tcx' WHEN contains(h, '<kml') THEN 'kml' END
+ WHEN contains(f, ',') AND contains(f, 'lat') AND contains(f, 'lon') THEN 'csv' END"""
+
+
+@query(f"""WITH c AS (SELECT page_id AS id, 'page' AS kind, html AS c FROM pages UNION ALL SELECT doc_id, 'document', text FROM documents UNION ALL SELECT event_id, 'event', props FROM events),
+h AS (SELECT id, kind, c, trim(substr(c, 1, 4096), ' ' || chr(9) || chr(13) || chr(10)) AS h FROM c), f AS (SELECT *, lower(string_split(h, chr(10))[1]) AS f FROM h) SELECT id, kind, {_SNIFF} AS format FROM f""")
+def format_sniff(spark, sf_dir):
+    parts = [V.table(spark, sf_dir, t).select(F.col(i).alias("id"), F.lit(k).alias("kind"), F.col(c).alias("c")) for t, i, k, c in (("pages", "page_id", "page", "html"), ("documents", "doc_id", "document", "text"), ("events", "event_id", "event", "props"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "kind", S.sniffed(F.col("c")).alias("format"))
+
+
+def _roundtrip(fmt: str) -> Query:
+    def run(spark, sf_dir):
+        traces = P.nested(V.points(spark, sf_dir))
+        texts = S.written_traces(traces, fmt)
+        again = texts.mapInArrow(_parsed(fmt), P.TRACES)
+        return M.summary(P.flattened(again)).select("trace_id", "segments", "points", *_round("distance_m", digits=2), "duration_s")
+
+    run.__name__ = f"{fmt}_roundtrip"
+    return run
+
+
+def _parsed(fmt: str):
+    def make(batches):
+        for batch in batches:
+            found = [{"trace_id": i, **S.parse(c.encode(), None, fmt)[0]} for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(found, schema=S.ARROW)
+
+    return make
+
+
+#: What a trace keeps of itself through a file: times lose their fractions in GPX only, and durations are whole seconds.
+_AGAIN = f"""WITH {V.STEPS} SELECT trace_id, count(DISTINCT seg_idx) AS segments, count(*) AS points, round(coalesce(sum(step_m), 0), 2) AS distance_m, (max(t) - min(t)) // 1000000 AS duration_s FROM steps GROUP BY trace_id"""
+
+_WHOLE = _AGAIN.replace("(max(t) - min(t)) // 1000000", "max(t) // 1000000 - min(t) // 1000000")
+
+for _f in ("gpx", "tcx", "geojson", "csv"):
+    query(_WHOLE if _f == "gpx" else _AGAIN)(_roundtrip(_f))
+
+
+_FMT = """regexp_replace(regexp_replace(printf('%.9f', {0}), '0+$', ''), '\\.$', '')"""
+
+
+@query(f"""WITH {V.FIX}, s AS (SELECT *, event_id * 7 AS s FROM fix) SELECT event_id, {_FMT.format('lat')} AS lat, {_FMT.format('lon')} AS lon,
+ CASE WHEN s >= 3600 THEN (s // 3600) || ':' || printf('%02d:%02d', s % 3600 // 60, s % 60) ELSE (s // 60) || ':' || printf('%02d', s % 60) END AS clock FROM s""")
+def shown_values(spark, sf_dir):
+    return V.fixes(spark, sf_dir).select("event_id", text.coordinate(F.col("lat")).alias("lat"), text.coordinate(F.col("lon")).alias("lon"), text.clock(F.col("event_id") * 7).alias("clock"))
