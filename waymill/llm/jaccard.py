@@ -284,8 +284,9 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: in
     dealt = around.select("centre", "rep", one.alias("i"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("j"))
     dealt = dealt.select("centre", "rep", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     wanted = around.select("rep").distinct()
-    held = rows.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    links = dealt.join(held, "rep").groupBy("centre", "i", "j").applyInArrow(_verified(n, percent), "a binary, b binary")
+    # Merge joins at every size: a plan that changes when a side outgrows a broadcast would also change what it moves.
+    held = rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    links = dealt.hint("merge").join(held, "rep").groupBy("centre", "i", "j").applyInArrow(_verified(n, percent), "a binary, b binary")
     found = components(links)
 
     named = texts.select("key", "rep").join(found, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
