@@ -116,15 +116,26 @@ def _doc_ids(ids: list) -> np.ndarray:
     return np.array([_NULL_ID if i is None else i for i in ids], np.int64)
 
 
-def _block_anchors(ids: list, docs: list[list[bytes]], size: int, anchor: int, hashed: Hashed):
+class _Words:
+    """All words of a block, one text after the other: hashes, and the text at every place where a window starts."""
+
+    def __init__(self, docs: list[list[bytes]], size: int):
+        self.counts = np.array([len(w) for w in docs], np.int64)
+        self.begin = C.starts(self.counts)
+        self.hashes = Hashed().words([w for doc in docs for w in doc])
+        # A window lies within one text: it starts at least size words before the end of the text.
+        starts = np.maximum(self.counts - size + 1, 0)
+        self.at = C.spans(self.begin[:-1], starts)
+        self.doc = np.repeat(np.arange(len(docs)), starts)
+
+
+def _block_anchors(ids: list, docs: list[list[bytes]], size: int, anchor: int):
     """Distinct (anchor, smallest id, more than one id) of a block."""
-    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for doc, words in zip(_doc_ids(ids).tolist(), docs, strict=True):
-        if len(words) >= size:
-            own = np.unique(anchored(hashed.words(words), size, anchor))
-            keys.append(own)
-            owners.append(np.full(len(own), doc, np.int64))
-    return _by_key(np.concatenate(keys), np.concatenate(owners))
+    words = _Words(docs, size)
+    keys, owners = anchored(words.hashes, size, anchor)[words.at], _doc_ids(ids)[words.doc]
+    # Neighbouring windows mostly share their anchor.
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])]) if len(keys) else np.zeros(0, bool)
+    return _by_key(keys[new], owners[new])
 
 
 def _by_key(keys: np.ndarray, low: np.ndarray, many: np.ndarray | None = None):
@@ -143,10 +154,9 @@ def blocks(docs: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
     """Blocks of documents as words joined by one blank, with the anchors of each shard."""
 
     def make(batches):
-        hashed = Hashed()
         for block, ids, texts in C.gathered(batches):
             words = [t.split() for t in texts]
-            keys, low, many = _block_anchors(ids, words, size, anchor, hashed)
+            keys, low, many = _block_anchors(ids, words, size, anchor)
             lists = [C.pack(keys[p].tobytes() + low[p].tobytes() + np.packbits(many[p]).tobytes()) if len(p) else None for p in _each_shard(_shards(keys, n), n)]
             yield C.rows(_BLOCK, [(block, ids, C.pack(b"\n".join(b" ".join(w) for w in words), 6), lists)])
 
@@ -188,17 +198,13 @@ def _candidates(n: int, size: int, anchor: int):
         if not left.num_rows or not right.num_rows:
             return _ANSWER.empty_table()
         repeated = np.sort(np.concatenate([C.unpack(x.as_py(), np.uint64) for x in right.column("data")]))
-        ids, hashed, found = left.column("ids")[0].as_py(), Hashed(), []
-        for doc, words in zip(_doc_ids(ids).tolist(), _texts(ids, left.column("texts")[0].as_py()), strict=True):
-            if len(words) >= size:
-                h = hashed.words(words)
-                at = np.flatnonzero(_among(anchored(h, size, anchor), repeated))
-                if len(at):
-                    a, b = window_hash(h, size)
-                    found.append(_windows(a[at], b[at], doc))
-        if not found:
+        ids = left.column("ids")[0].as_py()
+        words = _Words(_texts(ids, left.column("texts")[0].as_py()), size)
+        use = np.flatnonzero(_among(anchored(words.hashes, size, anchor)[words.at], repeated))
+        if not len(use):
             return _ANSWER.empty_table()
-        rows = _first(np.concatenate(found))
+        x, y = window_hash(words.hashes, size)
+        rows = _first(_windows(x[words.at[use]], y[words.at[use]], _doc_ids(ids)[words.doc[use]]))
         lists = _each_shard(_shards(rows["a"], n), n)
         name = left.column("block")[0].as_py()
         return pa.Table.from_batches([C.rows(_ANSWER, [(name, i, C.pack(rows["a"][p].tobytes() + rows["b"][p].tobytes() + rows["doc"][p].tobytes())) for i, p in enumerate(lists) if len(p)])])
@@ -206,7 +212,7 @@ def _candidates(n: int, size: int, anchor: int):
     return block
 
 
-def _windows(a: np.ndarray, b: np.ndarray, doc: int) -> np.ndarray:
+def _windows(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
     out = np.empty(len(a), _WINDOW)
     out["a"], out["b"], out["doc"] = a, b, doc
     return out
@@ -264,52 +270,69 @@ def _rewrite(size: int, anchor: int, finish, arrow: pa.Schema):
         if not left.num_rows:
             return arrow.empty_table()
         ids = left.column("ids")[0].as_py()
-        docs, numbers = _texts(ids, left.column("texts")[0].as_py()), _doc_ids(ids).tolist()
+        docs = _texts(ids, left.column("texts")[0].as_py())
         gone = [np.zeros(len(w), bool) for w in docs]
         if right.num_rows:
             known = _first(np.concatenate([_window_list(x.as_py()) for x in right.column("data")]))
-            automaton = _automaton(known, docs, numbers, size)
-            if automaton is not None:
-                for doc, words, flags in zip(numbers, docs, gone, strict=True):
-                    if len(words) >= size:
-                        _locate(automaton, doc, words, flags, size)
+            passages = _passages(known, docs, _doc_ids(ids), size)
+            if passages:
+                _locate(passages, docs, _doc_ids(ids).tolist(), gone, size)
         out = [(i, *finish(words, flags)) for i, words, flags in zip(ids, docs, gone, strict=True)]
         return pa.Table.from_batches([C.rows(arrow, out)])
 
     return block
 
 
-def _automaton(known: np.ndarray, docs: list[list[bytes]], numbers: list[int], size: int):
-    """Passages: for each document, windows that cover all its words that a smaller id holds too."""
-    automaton, hashed = ahocorasick.Automaton(), Hashed()
-    for doc, words in zip(numbers, docs, strict=True):
-        if len(words) < size:
-            continue
-        a, b = window_hash(hashed.words(words), size)
-        at = np.searchsorted(known["a"], a)
-        lowest = np.full(len(a), doc, np.int64)
-        # Windows that are equal in the first half of the hash follow each other.
-        for step in range(4):
-            k = np.minimum(at + step, len(known) - 1)
-            hit = (known["a"][k] == a) & (known["b"][k] == b)
-            lowest[hit] = known["doc"][k][hit]
-        for i in _cover(np.flatnonzero(lowest < doc), size).tolist():
-            phrase = f" {b' '.join(words[i : i + size]).decode('utf-8', 'surrogateescape')} "
-            automaton.add_word(phrase, (int(lowest[i]), len(phrase)))
-    if not len(automaton):
-        return None
-    automaton.make_automaton()
-    return automaton
+def _passages(known: np.ndarray, docs: list[list[bytes]], numbers: np.ndarray, size: int) -> dict[tuple[bytes, ...], int]:
+    """For each text, windows that cover all its words that a smaller id holds too, with that id."""
+    words = _Words(docs, size)
+    x, y = (v[words.at] for v in window_hash(words.hashes, size))
+    first, second, low = (np.ascontiguousarray(known[c]) for c in ("a", "b", "doc"))
+    own = numbers[words.doc]
+    use = np.flatnonzero(_among(x, first))
+    lowest, at = own[use].copy(), np.searchsorted(first, x[use])
+    while len(at):  # windows that are equal in the first half of the hash follow each other
+        here = np.minimum(at, len(first) - 1)
+        hit = (first[here] == x[use]) & (second[here] == y[use])
+        lowest[hit] = low[here][hit]
+        at = at + 1
+        if not ((at < len(first)) & (first[np.minimum(at, len(first) - 1)] == x[use])).any():
+            break
+    less = lowest < own[use]
+    places, holder, doc = words.at[use][less], lowest[less], words.doc[use][less]
+    out = {}
+    for i in np.unique(doc).tolist():
+        rows = slice(*np.searchsorted(doc, [i, i + 1]))
+        begin = int(words.begin[i])
+        lowest_at = dict(zip(places[rows].tolist(), holder[rows].tolist(), strict=True))
+        for k in _cover(places[rows], size).tolist():
+            out[tuple(docs[i][k - begin : k - begin + size])] = lowest_at[k]
+    return out
+
+
+def _spelt(words) -> str:
+    """Words between blanks, so that a passage is only found at word ends."""
+    return f" {b' '.join(words).decode('utf-8', 'surrogateescape')} "
 
 
-def _locate(automaton, doc: int, words: list[bytes], flags: np.ndarray, size: int) -> None:
-    """Flags the words of doc under every passage that a smaller id holds."""
-    text = f" {b' '.join(words).decode('utf-8', 'surrogateescape')} "
-    hits = [end - n + 1 for end, (low, n) in automaton.iter(text) if low < doc]
-    if hits:
-        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-        for i in np.searchsorted(blanks, hits).tolist():
-            flags[i : i + size] = True
+def _locate(passages: dict[tuple[bytes, ...], int], docs: list[list[bytes]], numbers: list[int], gone: list[np.ndarray], size: int) -> None:
+    """Flags the words under every passage that a smaller id holds: one automaton, through which all texts stream.
+
+    Its letters are characters: with words as letters the root would have as many branches as there are words.
+    """
+    automaton = ahocorasick.Automaton()
+    for phrase, low in passages.items():
+        spelt = _spelt(phrase)
+        automaton.add_word(spelt, (low, len(spelt)))
+    automaton.make_automaton()
+    for doc, words, flags in zip(numbers, docs, gone, strict=True):
+        if len(words) >= size:
+            text = _spelt(words)
+            hits = [end - n + 1 for end, (low, n) in automaton.iter(text) if low < doc]
+            if hits:
+                blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+                for i in np.searchsorted(blanks, hits).tolist():
+                    flags[i : i + size] = True
 
 
 def _grouped(lists: DataFrame, f) -> DataFrame:
