@@ -28,7 +28,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts one stays."""
-    return _kept(docs, exact.groups(docs).filter("kept")).dropDuplicates(["doc_id"])
+    return _kept(docs, exact.groups(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
