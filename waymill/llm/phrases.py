@@ -204,10 +204,10 @@ def _candidates(n: int, size: int, anchor: int):
         if not len(use):
             return _ANSWER.empty_table()
         x, y = window_hash(words.hashes, size)
-        rows = _first(_windows(x[words.at[use]], y[words.at[use]], _doc_ids(ids)[words.doc[use]]))
+        rows, many = _first(_windows(x[words.at[use]], y[words.at[use]], _doc_ids(ids)[words.doc[use]]))
         lists = _each_shard(_shards(rows["a"], n), n)
         name = left.column("block")[0].as_py()
-        return pa.Table.from_batches([C.rows(_ANSWER, [(name, i, C.pack(rows["a"][p].tobytes() + rows["b"][p].tobytes() + rows["doc"][p].tobytes())) for i, p in enumerate(lists) if len(p)])])
+        return pa.Table.from_batches([C.rows(_ANSWER, [(name, i, _packed(rows[p], many[p])) for i, p in enumerate(lists) if len(p)])])
 
     return block
 
@@ -218,36 +218,44 @@ def _windows(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first(rows: np.ndarray) -> np.ndarray:
-    """Of rows with equal windows, the one with the smallest id, in order of the windows."""
+def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal windows, the one with the smallest id, in order of the windows; and whether they have more ids."""
     rows = rows[np.lexsort((rows["doc"], rows["b"], rows["a"]))]
-    return rows[np.concatenate([[True], (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])])] if len(rows) else rows
+    first = np.flatnonzero(np.concatenate([[True], (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])])) if len(rows) else np.zeros(0, np.int64)
+    last = np.concatenate([first[1:], [len(rows)]]).astype(np.int64) - 1 if len(first) else first
+    return rows[first], rows["doc"][first] != rows["doc"][last]
 
 
-def _window_list(data: bytes) -> np.ndarray:
+def _packed(rows: np.ndarray, many: np.ndarray) -> bytes:
+    return C.pack(rows["a"].tobytes() + rows["b"].tobytes() + rows["doc"].tobytes() + np.packbits(many).tobytes())
+
+
+def _window_list(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = C.unpack(data)
-    n = len(raw) // 24
+    n = len(raw) * 8 // 193
     out = np.empty(n, _WINDOW)
     out["a"], out["b"], out["doc"] = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n)
-    return out
+    return out, np.unpackbits(np.frombuffer(raw, np.uint8, offset=24 * n), count=n).astype(bool)
 
 
 def _confirm(key, batches):
-    """Of one shard: the smallest id for every window, to each block that has it, where the block has a larger id for it."""
+    """Of one shard: the smallest id for every window, to each block where a larger id has the window."""
     blocks, lists = [], []
     for batch in batches:
         blocks += batch.column("block").to_pylist()
         lists += [_window_list(x) for x in batch.column("data").to_pylist()]
-    every = np.concatenate(lists)
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    every, many = (np.concatenate([x[i] for x in lists]) for i in range(2))
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x, _ in lists])
     order = np.lexsort((every["doc"], every["b"], every["a"]))
-    every, owner = every[order], owner[order]
+    every, many, owner = every[order], many[order], owner[order]
     new = np.concatenate([[True], (every["a"][1:] != every["a"][:-1]) | (every["b"][1:] != every["b"][:-1])])
-    run = np.cumsum(new) - 1
-    every["doc"] = every["doc"][np.flatnonzero(new)][run]
+    lowest = every["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    wanted = many | (lowest < every["doc"])
+    every["doc"] = lowest
+    every, many, owner = every[wanted], many[wanted], owner[wanted]
     for i, p in enumerate(_each_shard(owner, len(lists))):
-        own = every[p]
-        yield C.rows(_ANSWER, [(blocks[i], key[0].as_py(), C.pack(own["a"].tobytes() + own["b"].tobytes() + own["doc"].tobytes()))])
+        if len(p):
+            yield C.rows(_ANSWER, [(blocks[i], key[0].as_py(), _packed(every[p], many[p]))])
 
 
 def _cover(repeats: np.ndarray, size: int) -> np.ndarray:
@@ -273,7 +281,7 @@ def _rewrite(size: int, anchor: int, finish, arrow: pa.Schema):
         docs = _texts(ids, left.column("texts")[0].as_py())
         gone = [np.zeros(len(w), bool) for w in docs]
         if right.num_rows:
-            known = _first(np.concatenate([_window_list(x.as_py()) for x in right.column("data")]))
+            known, _ = _first(np.concatenate([_window_list(x.as_py())[0] for x in right.column("data")]))
             passages = _passages(known, docs, _doc_ids(ids), size)
             if passages:
                 _locate(passages, docs, _doc_ids(ids).tolist(), gone, size)
