@@ -41,7 +41,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: S
     crowded = narrow.join(shared_head, ["_size", "_head"], "left_semi").select("doc_id").distinct()
     lone = narrow.join(shared_head, ["_size", "_head"], "left_anti")
 
-    read = sized.join(crowded.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    read = sized.join(crowded.select(F.col("doc_id").alias("_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     hashed = C.written(read.select("doc_id", "_chars", "_size", "_head", F.unhex(F.sha2("_bare", 256)).alias("_full"), *names))
     # A repeated id may bring along a row that shares nothing; it is among the lone ones already.
     hashed = hashed.join(shared_head, ["_size", "_head"], "left_semi")
