@@ -15,10 +15,15 @@ from waymill.llm.queries import TOKENIZER
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Documents whose id is among those of verdict."""
-    ids = verdict.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+def _kept(docs: DataFrame, verdict: DataFrame, once: bool = False) -> DataFrame:
+    """Documents whose id is among those of verdict; once: of rows with equal ids and texts one.
+
+    A merge join at every size, so that what it moves follows the input; it also puts equal ids together.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")
+    ids = verdict.select(key).distinct()
+    out = docs.select(*COLUMNS, key).join(ids.hint("merge"), "_id", "left_semi")
+    return (out.dropDuplicates(["_id", "text"]) if once else out).select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +33,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts one stays."""
-    return _kept(docs, exact.groups(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
+    return _kept(docs, exact.groups(docs).filter("kept"), once=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
