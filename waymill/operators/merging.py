@@ -10,7 +10,7 @@ that claims them only walks the candidates that are left.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ KEYS = ["group_id", "input_idx"]
 RECORDED = ["track_idx", "seg_idx", "pt_idx"]
 VALUES = ["lat", "lon", "ele", "time", *EXTRAS]
 MERGED = "group_id string, pt_idx bigint, lat double, lon double, ele double, t bigint, " + ", ".join(f"{n} {t}" for n, t in EXTRAS.items()) + ", matches int"
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+_MERGED = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in MERGED.split(", "))])
 
 
 def match_window_us(a_ms: Column, b_ms: Column) -> Column:
@@ -92,36 +94,46 @@ def _candidates(times: np.ndarray, place: np.ndarray, incoming: np.ndarray, wind
     return who, place[np.arange(len(who)) + np.repeat(low - (ends - n), n)] if len(who) else place[:0]
 
 
-def reconcile_frames(frames: list[pd.DataFrame], windows_us: list[int], primary: int, radius_m: float | None, max_mps: float = MAX_SPEED_MPS) -> tuple[pd.DataFrame, int]:
-    """frames: per input, in recorded order, with t (microseconds, NA if undated) and the other values. Returns the timeline and the matches."""
-    line = frames[primary].reset_index(drop=True)
-    matched = 0
-    for i, frame in enumerate(frames):
-        if i == primary or frame.empty:
+Values = dict[str, np.ndarray]
+
+
+def _by_time(values: Values) -> Values:
+    """In order of time, undated ones last, else as they were."""
+    order = np.argsort(np.where(np.isnan(values["t"]), np.inf, values["t"]), kind="stable")
+    return {c: x[order] for c, x in values.items()}
+
+
+def reconcile_values(inputs: list[Values], windows_us: list[int], primary: int, radius_m: float | None, max_mps: float = MAX_SPEED_MPS) -> Values:
+    """The timeline of all inputs. Each has its values in recorded order as floats, with NaN for what is missing.
+
+    t is in microseconds, which a float holds exactly. matches counts the points that a point has taken in.
+    """
+    line = {c: x.copy() for c, x in inputs[primary].items()} | {"matches": np.zeros(len(inputs[primary]["t"]))}
+    for i, own in enumerate(inputs):
+        if i == primary or not len(own["t"]):
             continue
-        line = line.sort_values("t", kind="stable", na_position="last", ignore_index=True)
-        dated, own = np.flatnonzero(line["t"].notna()), np.flatnonzero(frame["t"].notna())
-        times, incoming = line["t"].iloc[dated].to_numpy(np.int64), frame["t"].iloc[own].to_numpy(np.int64)
-        who, where = _candidates(times, dated, incoming, windows_us[i])
-        apart = np.abs(line["t"].to_numpy(dtype=float, na_value=np.nan)[where] - incoming[who])
-        metres = geodesic_numpy(*(line[c].to_numpy(float)[where] for c in ("lat", "lon")), *(frame[c].to_numpy(float)[own[who]] for c in ("lat", "lon")))
+        line = _by_time(line)
+        dated, mine = np.flatnonzero(~np.isnan(line["t"])), np.flatnonzero(~np.isnan(own["t"]))
+        who, where = _candidates(line["t"][dated], dated, own["t"][mine], windows_us[i])
+        who = mine[who]
+        apart = np.abs(line["t"][where] - own["t"][who])
+        metres = geodesic_numpy(line["lat"][where], line["lon"][where], own["lat"][who], own["lon"][who]) if len(who) else apart
         good = metres <= (apart / 1e6 * max_mps + NOISE_MARGIN_M if radius_m is None else radius_m)
-        who, where, apart = who[good], where[good], apart[good]
-        taken: dict[int, int] = {}  # place in the timeline -> row of the frame
-        for j in np.unique(who):
-            rows = np.flatnonzero(who == j) if len(who) < 64 else np.arange(*np.searchsorted(who, [j, j + 1]))
-            free = [r for r in rows if where[r] not in taken]
-            if free:
-                taken[int(where[min(free, key=lambda r: (apart[r], where[r]))])] = int(own[j])
-        matched += len(taken)
-        if taken:
-            place, rows = list(taken), list(taken.values())
-            for c in ("ele", "t", *EXTRAS):
-                line.loc[place, c] = line.loc[place, c].where(line.loc[place, c].notna(), frame[c].iloc[rows].set_axis(place))
-            line.loc[place, "matches"] = line.loc[place, "matches"] + 1
-        rest = frame.drop(index=frame.index[list(taken.values())])
-        line = pd.concat([line, rest], ignore_index=True) if len(rest) else line
-    return line.sort_values("t", kind="stable", na_position="last", ignore_index=True), matched
+        taken: dict[int, int] = {}  # place in the timeline -> point that it takes in
+        done = -1
+        # Of each point in turn, the nearest free place in time, then the earliest.
+        order = np.lexsort((where[good], apart[good], who[good]))
+        for w, at in zip(who[good][order].tolist(), where[good][order].tolist(), strict=True):
+            if w != done and at not in taken:
+                taken[at] = done = w
+        place, point = np.array(list(taken), np.int64), np.array(list(taken.values()), np.int64)
+        for c in ("ele", "t", *EXTRAS):
+            line[c][place] = np.where(np.isnan(line[c][place]), own[c][point], line[c][place])
+        line["matches"][place] += 1
+        rest = np.ones(len(own["t"]), bool)
+        rest[point] = False
+        line = {c: np.concatenate([x, own[c][rest] if c in own else np.zeros(int(rest.sum()))]) for c, x in line.items()}
+    return _by_time(line)
 
 
 def reconciled(points: DataFrame, primary: int = 0, window_s: float | None = None, radius_m: float | None = None, gap_s: float = SEGMENT_GAP_S) -> DataFrame:
@@ -129,26 +141,26 @@ def reconciled(points: DataFrame, primary: int = 0, window_s: float | None = Non
     flat = points.select(F.col("group_id").cast("string").alias("group_id"), "input_idx", *RECORDED, F.unix_micros("time").alias("t"), *[F.col(c) if c in points.columns else F.lit(None).cast(EXTRAS.get(c, "double")).alias(c) for c in VALUES if c != "time"])
     medians = intervals(points).select(F.col("group_id").cast("string").alias("group_id"), "input_idx", "median_ms")
     own = medians.groupBy("group_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("input_idx", "median_ms")))).alias("medians"))  # one entry per input
-    columns = [c.split()[0] for c in MERGED.split(", ")]
-
-    def task(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = right["medians"].iloc[0] if len(right) else {}
-        medians = {int(k): (None if v is None or pd.isna(v) else float(v)) for k, v in (known.items() if isinstance(known, dict) else known)}
-        left = left.sort_values(["input_idx", *RECORDED], kind="stable")
-        left["t"] = left["t"].astype("Int64")
-        for c, kind in EXTRAS.items():
-            left[c] = left[c].astype("Int64" if kind == "int" else "Float64")
-        left["ele"] = left["ele"].astype("Float64")
-        left["matches"] = 0
-        names = sorted(left["input_idx"].unique())
+    values = ["lat", "lon", "ele", "t", *EXTRAS]
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _MERGED.empty_table()
+        known = dict(right.column("medians")[0].as_py() or []) if right.num_rows else {}
+        place = [left.column(c).to_numpy() for c in ("input_idx", *RECORDED)]
+        order = np.lexsort(place[::-1])
+        data = {c: left.column(c).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)[order] for c in values}
+        names, begin = np.unique(place[0][order], return_index=True)
+        inputs = [{c: x[rows] for c, x in data.items()} for rows in (slice(*e) for e in zip(begin, [*begin[1:], len(order)], strict=True))]
         first = min(primary, len(names) - 1)
-        frames = [left[left["input_idx"] == n].reset_index(drop=True) for n in names]
-        windows = [window_us(medians.get(int(names[first])), medians.get(int(n)), window_s) for n in names]
-        line, _ = reconcile_frames(frames, windows, first, radius_m)
-        line["pt_idx"] = np.arange(len(line))
-        return line[columns]
-
-    merged = flat.groupBy("group_id").cogroup(own.groupBy("group_id")).applyInPandas(task, MERGED)
+        windows = [window_us(known.get(int(names[first])), known.get(int(n)), window_s) for n in names]
+        line = reconcile_values(inputs, windows, first, radius_m)
+        n = len(line["t"])
+        line |= {"pt_idx": np.arange(n)}
+        group = left.column("group_id")[0].as_py()
+        return pa.Table.from_arrays([pa.array([group] * n, f.type) if f.name == "group_id" else pa.array(line[f.name], from_pandas=True).cast(f.type, safe=False) for f in _MERGED], schema=_MERGED)
+
+    merged = flat.groupBy("group_id").cogroup(own.groupBy("group_id")).applyInArrow(task, MERGED)
     w = Window.partitionBy("group_id").orderBy("pt_idx")
     before = F.last("t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     cut = merged.withColumn("_b", before).withColumn("_n", F.coalesce((F.col("t") - F.col("_b") > round(gap_s * 1e6)).cast("int"), F.lit(0)))
