@@ -64,6 +64,18 @@ def test_verdicts_equal_sql(spark, tmp_path):
     assert {r.doc_id: r.kept for r in quality.judged(frame).collect()} == want
 
 
+def test_documents_that_share_most_lines_count_apart(spark):
+    rng = random.Random(11)
+    shared = [sentence(rng, 4) for _ in range(60)]
+    rows = [(i, "\n".join([*shared, sentence(rng, 12)]), "hot") for i in range(400)]
+    copied = "\n".join(sentence(rng, 20) for _ in range(10))
+    rows += [(1000 + i, copied, "hot") for i in range(400)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept for i in range(400))
+    assert all(got[1000 + i].kept for i in range(400))
+
+
 def test_quality_of_odd_rows(odd, none):
     assert quality.judged(odd).count() == 6
     assert quality.judged(none).count() == 0

@@ -2,8 +2,8 @@
 
 Only DataFrame functions. A line is normalised by deleting white space, lowering A-Z and writing 0 for every
 digit. A line is common on a host when more than LINE_DOCS documents there hold it and more than LINE_SHARE of
-them; documents that are copies of each other count once, by the smallest line hash that they have, so that a
-text is not rejected for having been copied. A document that keeps less than LEAST_KEPT of its word characters
+them; documents whose normalised lines are all equal, in the same order, are copies and count once, so that a text
+is not rejected for having been copied. A document that keeps less than LEAST_KEPT of its word characters
 once the common lines are removed is depleted and rejected.
 
 Null text has no words and fails the base rules. A null host is a host of its own. Rows with equal ids or texts
@@ -46,7 +46,7 @@ def _covered(at: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and lines (hash and word characters)."""
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lines (hash and word characters) and family (hash of all lines)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     split = rows.select(
         "doc_id", "host", "t",
@@ -73,20 +73,20 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host:
         F.transform("l", lambda x: F.translate(x, FROM, TO)).alias("n"),
     )
     lines = F.transform("n", lambda x: F.struct(F.unhex(F.md5(x)).alias("h"), F.length(x).alias("c")))
+    family = F.when(F.size("n") > 0, F.unhex(F.md5(F.array_join("n", "\n"))))  # a normalised line holds no line end
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return base.select("*", failed.alias("base_failed"), lines.alias("lines")).drop("n")
+    return base.select("*", failed.alias("base_failed"), lines.alias("lines"), family.alias("family")).drop("n")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The measures of every row, removed_chars (of common lines) and kept."""
     table = C.written(measured(docs, id_col, text, host).withColumn("row", F.monotonically_increasing_id()))
-    family = F.array_min(F.transform("lines", lambda x: x["h"]))
-    held = table.select("row", "host", family.alias("family"), F.explode("lines").alias("x")).select("row", "host", "family", "x.h", "x.c")
-    hosts = table.select("host", family.alias("family")).filter("family is not null").distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
+    held = table.select("row", "host", "family", F.explode("lines").alias("x")).select("row", "host", "family", "x.h", "x.c")
+    hosts = table.select("host", "family").filter("family is not null").distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
     often = held.select("host", "h", "family").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > LINE_DOCS)
     same_host = F.col("a.host").eqNullSafe(F.col("b.host"))
     common = often.alias("a").join(hosts.alias("b"), same_host).filter(F.col("n") > LINE_SHARE * F.col("n_docs")).select("a.host", "h")
     removed = held.alias("a").join(common.alias("b"), same_host & (F.col("a.h") == F.col("b.h"))).groupBy("row").agg(F.sum("c").alias("removed_chars"))
-    joined = table.drop("lines").join(removed, "row", "left").withColumn("removed_chars", F.coalesce(F.col("removed_chars"), F.lit(0)).cast("long"))
+    joined = table.drop("lines", "family").join(removed, "row", "left").withColumn("removed_chars", F.coalesce(F.col("removed_chars"), F.lit(0)).cast("long"))
     depleted = (F.col("word_chars") - F.col("removed_chars")) < LEAST_KEPT * F.col("word_chars")
     return joined.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"), "row")
