@@ -163,6 +163,16 @@ def test_pages_without_an_article():
     assert len(html_text.main_text("<div>" * 3000 + "deep words " * 50)) > 500
 
 
+@pytest.mark.parametrize("n", [2, 3])
+def test_pages_split_over_sibling_containers(n):
+    texts = [f"Paragraph {i:02d} of the story, " + "with words enough to count for much, " * 7 for i in range(9 * n)]
+    parts = ["<div>" + "".join(f"<p>{t}</p>" for t in texts[9 * i : 9 * i + 9]) + "</div>" for i in range(n)]
+    want = "\n\n".join(" ".join(t.split()) for t in texts)
+    assert html_text.main_text(f"<body><div>{''.join(parts)}</div></body>") == want
+    deep = "<div class='advert'><a href='x'>buy this</a></div>".join(f"<div>{x}</div>" for x in parts)
+    assert html_text.main_text(f"<body><div><div>{deep}</div></div></body>") == want
+
+
 def test_pages_table(spark):
     frame = spark.createDataFrame([(1, "u", PAGE.format(article=f"<article>{INNER}</article>"), 5), (1, None, None, 6), (None, "v", "", 7)], "page_id long, url string, html string, text long")
     rows = html_text.extracted(frame).collect()

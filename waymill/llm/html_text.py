@@ -3,8 +3,8 @@
 A page becomes a tree without scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and
 reader comments (by element, role, class or id). Every node gets its composite density: characters per tag,
 lowered where much of the text is links. The density sum of a node adds those of its children. The least density
-on the path from the body to the node with the largest sum is the threshold; below the body, whatever reaches it
-gives its subtree with the largest sum, and an enclosing article is taken whole.
+on the path from the body to the node with the largest sum is the threshold. From the body down, whatever reaches
+it gives its subtree with the largest sum, and so do its children beside that; an enclosing article is taken whole.
 
 Null, empty or textless html gives an empty text. Pages may be of any length; each row is extracted alone, so
 repeated rows and ids stay as they are. An empty table gives an empty result. Other columns are left behind,
@@ -49,7 +49,7 @@ _EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text",
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "top")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []  # parts: texts and nodes, in page order
@@ -157,6 +157,11 @@ def measure(root: Node) -> list[Node]:
         node.density = c / t * max(0.0, log(max(1.0, c / max(1, lc) * t / lt)) / log(log(c / free * lc + links / chars * c + E) + E - 1)) if c else 0.0
     for node in order:
         node.total = sum(x.density for x in node.parts if isinstance(x, Node))
+    for node in reversed(order):
+        node.top = node  # the subtree of the greatest sum in this one
+        for x in reversed(node.parts):
+            if isinstance(x, Node) and x.top.total > node.top.total:
+                node.top = x.top
     return order
 
 
@@ -176,15 +181,19 @@ def selected(root: Node) -> list[Node]:
         node = node.parent
     if best is root:
         return [root]
-    out = []
-    for x in root.parts:
-        if isinstance(x, Node) and x.chars and x.density >= threshold:
-            inner, todo = x, [x]
-            while todo:
-                y = todo.pop()
-                inner = y if y.total > inner.total else inner
-                todo += [z for z in y.parts if isinstance(z, Node)]
-            out.append(inner)
+    marked, todo = set(), [root]
+    while todo:
+        x = todo.pop()
+        if x not in marked and x.chars and x.density >= threshold:
+            marked.add(x.top)
+            todo += [y for y in x.parts if x.top is not x and isinstance(y, Node)]
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x in marked:
+            out.append(x)
+        else:
+            todo += [y for y in reversed(x.parts) if isinstance(y, Node)]
     return out or [best]
 
 
