@@ -114,6 +114,26 @@ def test_field_finds_what_patterns_miss_and_spares_numbers():
     assert [(k, text[s:e]) for s, k, e, _ in got] == [("crf", key)]
 
 
+def test_tokens_without_digits_can_be_secrets():
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ") for _ in range(n))
+    texts = [f"{sentence(rng, 30)} password = {word(24)} {sentence(rng, 10)}" for _ in range(150)]
+    field = secrets.fitted([x for t in texts for x in secrets.labelled(t)])
+    key = word(24)
+    text = f"{sentence(rng, 10)} pwd = {key} {sentence(rng, 10)}"
+    assert [(k, text[s:e]) for s, k, e, _ in secrets.found(text, field)] == [("crf", key)]
+
+
+def test_remembered_parts_equal_single_ones(docs):
+    field, rng = learnt()
+    odd = ["pwd = \"ab12cd34ef56ab99\" - ab12cd34ef56ab99 = - ab12cd34ef56ab99", "key:\nab12cd34ef56ab99 key: ab12cd34ef56ab99", "-- = ab12cd34ef56ab99", " ab12cd34ef56ab99"]
+    for text in [*texts_of(docs).values(), *odd, *odd]:
+        own, want = [36 + k for k in secrets.file_features(text)], []
+        for m in re.finditer(r"\S+", text):
+            want += [(m.start() + s, m.start() + e) for s, e in field.part(text, m.start(), m.end(), own)]
+        assert field.spans(text) == want
+
+
 def test_viterbi_equals_all_paths():
     from itertools import product
 

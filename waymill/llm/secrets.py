@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds to them.
 
 The field tags the tokens of every text as begin, inside or outside of a secret, from their shape, the words
-around them and features of the file, and is decoded by Viterbi. Only a token with a digit and at least
-LEAST_CHARS characters can begin a secret, and only what is joined to it without white space can be inside.
-All other tokens are outside with certainty, so a chain falls into parts between white space, and decoding the
-parts that hold such a token is decoding the whole text.
+around them and features of the file, and is decoded by Viterbi. Every token can begin a secret or be inside or
+outside of one. White space is outside, so a chain falls into parts between white space, and decoding all parts is
+decoding the whole text. Equal parts after equal words are decoded once.
 
 The weights are learnt from rows that the patterns label: LABELLED documents with a match and as many without,
-those with the least hashes of their ids. Each chain with a secret is also learnt with its neighbours hidden.
+those with the least hashes of their ids, with all their chains; equal chains count as often as they occur. Each
+chain with a secret is also learnt with its neighbours hidden. In learning only, chains longer than LEARNT tokens
+are cut, never inside a secret.
 Without a labelled secret nothing is learnt and the patterns stand alone.
 
 Null or empty text has no spans. Rows with equal ids or texts each get their own. An empty table gives an empty
@@ -33,21 +34,23 @@ ASSIGN = re.compile(rf"""({'|'.join(map(_LETTERS, ('password', 'passwd', 'secret
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")  # runs are maximal, so those of 32 or more are the long ones of all runs
 
-#: Labelled documents of either kind that the weights are learnt from, and chains of them.
+#: Labelled documents of either kind that the weights are learnt from.
 LABELLED = 1500
-CHAINS = 8000
-LEAST_CHARS = 8
-#: Steps and tokens of a chain in learning only.
+#: Steps in learning, and tokens after which a chain is cut there.
 STEPS = 150
-LEARNT = 12
-
-PART = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
+LEARNT = 64
+#: Decoded parts that a worker remembers, of at most so many characters, and characters before a part that features see.
+KNOWN = 100_000
+SHORT = 64
+SEEN = 40
+
+GAP = re.compile(r"(\s+)")
+WORD = re.compile(r"\w")
 TOKEN = re.compile(r"[\w+/-]+|[^\w\s]")
 BEFORE = re.compile(r"([\w+/-]+)(\W*)\Z")
-JOINS = frozenset(".=+/-_:~")
 KEYS = re.compile("pass|pwd|secret|token|key|auth|cred|bearer|private|access|sig", re.I)
 LENGTHS = (8, 12, 16, 18, 20, 24, 32, 40, 41, 64)
-FEATURES = 10 + 12 + 5 + 9 + 4
+FEATURES = 10 + 12 + 5 + 9 + 4 + 4
 OUT, BEGIN, IN = range(3)
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -74,10 +77,10 @@ def file_features(text: str) -> list[int]:
 
 
 def token_features(tokens: list[tuple[str, int]], i: int, before: str, text: str, end: int) -> list[int]:
-    """Columns of one token that can be in a secret. before: up to 40 characters before the part."""
+    """Columns of one token. before: up to SEEN characters before the part."""
     word = tokens[i][0]
     n = len(word)
-    out = [sum(n >= x for x in LENGTHS) - 1] if n >= LENGTHS[0] else []
+    out = [sum(n >= x for x in LENGTHS) - 1] if n >= LENGTHS[0] else [40 + (n >= 4)]
     digits, lower, upper = sum(c.isdigit() for c in word), any(c.islower() for c in word), any(c.isupper() for c in word)
     counts = Counter(word)
     spread = -sum(c / n * math.log2(c / n) for c in counts.values())
@@ -88,9 +91,11 @@ def token_features(tokens: list[tuple[str, int]], i: int, before: str, text: str
         not word.isascii(), any(c in "+/" for c in word), "-" in word, "_" in word, turns >= 4, turns <= 1, n == 1,
     )
     out += [10 + k for k, x in enumerate(shape) if x]
+    out.append(43 if digits else 42)
     out.append(22 + min(4, max(0, int(2 * spread) - 4)))
     left, right = tokens[i - 1][0] if i else "", tokens[i + 1][0] if i + 1 < len(tokens) else text[end : end + 1].strip()
-    lead = before + "".join(t for t, _ in tokens[:i])
+    lead = text[tokens[0][1] : tokens[i][1]] if i and tokens[i][1] - tokens[0][1] < SEEN else text[tokens[i][1] - SEEN : tokens[i][1]] if i else ""
+    lead = before + lead if len(lead) < SEEN else lead
     m = BEFORE.search(lead)
     near = (
         left in ("=", ":") or bool(m and m[2] and m[2].strip(" \"'") in ("=", ":")), bool(m and m[2] and KEYS.search(m[1])), left in ("'", '"'), right in ("'", '"'),
@@ -99,29 +104,54 @@ def token_features(tokens: list[tuple[str, int]], i: int, before: str, text: str
     return out + [27 + k for k, x in enumerate(near) if x]
 
 
-def can_begin(word: str) -> bool:
-    return len(word) >= LEAST_CHARS and any(c in "0123456789" for c in word)
-
-
-def chains(text: str):
-    """For every part of text that can hold a secret: (tokens with their places, columns, tags that each can have)."""
-    own = None
-    for m in PART.finditer(text):
-        if m.end() - m.start() < LEAST_CHARS:
-            continue
-        tokens = [(t.group(), t.start()) for t in TOKEN.finditer(text, m.start(), m.end())]
-        begins = [can_begin(t) for t, _ in tokens]
-        if not any(begins):
-            continue
-        own = own or [36 + k for k in file_features(text)]
-        before = text[max(0, m.start() - 40) : m.start()]
-        columns, allowed, open_ = [], [], False
-        for i, (word, _) in enumerate(tokens):
-            inside = open_ and (begins[i] or word in JOINS or word.isalnum())
-            columns.append(token_features(tokens, i, before, text, m.end()) + own if begins[i] or inside else [])
-            allowed.append((True, begins[i], inside))
-            open_ = begins[i] or inside
-        yield tokens, columns, allowed
+def chain(text: str, start: int, end: int, own: list[int]) -> tuple[list, list, list]:
+    """Of the part from start to end: tokens with their places, columns, tags that each can have."""
+    tokens = [(t.group(), t.start()) for t in TOKEN.finditer(text, start, end)]
+    before = text[max(0, start - SEEN) : start]
+    columns = [token_features(tokens, i, before, text, end) + own for i in range(len(tokens))]
+    return tokens, columns, [(True, True, i > 0) for i in range(len(tokens))]
+
+
+def context(before: str) -> tuple[bool, str | None]:
+    """All that features see of what stands before a part: whether its last word names a secret, and what follows that."""
+    m = BEFORE.search(before)
+    return bool(m and KEYS.search(m[1])), m and m[2]
+
+
+def parts(text: str, tails: dict):
+    """(start, part, context) of every part of text. tails: what is known of words."""
+    at, bits, seen = 0, GAP.split(text), context("")
+    for i in range(0, len(bits), 2):
+        part = bits[i]
+        if part:
+            yield at, part, seen
+        if i + 1 < len(bits):
+            gap = bits[i + 1]
+            at += len(part) + len(gap)
+            if part not in tails:
+                if len(tails) >= KNOWN:
+                    tails.clear()
+                if len(part) <= SHORT:
+                    tails[part] = context(part) if WORD.search(part) else None
+            tail = tails.get(part)
+            if tail and len(part) + len(gap) <= SEEN:
+                seen = tail[0], tail[1] + gap
+            else:
+                seen = context(text[max(0, at - SEEN) : at])
+
+
+def chains(text: str, known: dict | None = None, tails: dict | None = None):
+    """For every part of text: (tokens with their places, columns, tags that each can have). known, tails: of earlier texts."""
+    own, known = [36 + k for k in file_features(text)], {} if known is None else known
+    for at, part, seen in parts(text, {} if tails is None else tails):
+        key = (part, seen, *own)
+        if key not in known:
+            if len(known) >= KNOWN:
+                known.clear()
+            tokens, columns, allowed = chain(text, at, at + len(part), own)
+            known[key] = [(t, x - at) for t, x in tokens], columns, allowed
+        tokens, columns, allowed = known[key]
+        yield [(t, at + x) for t, x in tokens], columns, allowed
 
 
 class Field:
@@ -129,6 +159,7 @@ class Field:
 
     def __init__(self, weights: np.ndarray, steps: np.ndarray):
         self.weights, self.steps = weights, steps.copy()
+        self.known, self.older, self.tails = {}, {}, {}
         self.steps[OUT, IN] = -1e6
 
     def scores(self, columns: list[list[int]], allowed: list[tuple]) -> np.ndarray:
@@ -152,78 +183,121 @@ class Field:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
+    def part(self, text: str, start: int, end: int, own: list[int]) -> list[tuple[int, int]]:
+        """Spans of one part, from its start."""
+        out, at = [], None
+        tokens, columns, allowed = chain(text, start, end, own)
+        for (word, place), tag in zip([*tokens, ("", end)], [*self.decode(columns, allowed), OUT], strict=True):
+            if tag != IN and at is not None:
+                out.append(tuple(at))
+                at = None
+            if tag == BEGIN:
+                at = [place - start, place - start + len(word)]
+            elif tag == IN:
+                at[1] = place - start + len(word)
+        return out
+
     def spans(self, text: str) -> list[tuple[int, int]]:
-        out = []
-        for tokens, columns, allowed in chains(text):
-            at = None
-            for (word, start), tag in zip([*tokens, ("", len(text))], [*self.decode(columns, allowed), OUT], strict=True):
-                if tag != IN and at is not None:
-                    out.append(tuple(at))
-                    at = None
-                if tag == BEGIN:
-                    at = [start, start + len(word)]
-                elif tag == IN:
-                    at[1] = start + len(word)
+        out, (signs, size) = [], file_features(text)
+        own = [36 + signs, 36 + size]
+        for at, part, seen in parts(text, self.tails):
+            key = (part, seen, signs, size)
+            hit = self.known.get(key)
+            if hit is None:
+                hit = self.older.get(key)
+                if hit is None:
+                    hit = self.part(text, at, at + len(part), own)
+                if len(part) <= SHORT:
+                    if len(self.known) >= KNOWN:
+                        self.known, self.older = {}, self.known
+                    self.known[key] = hit
+            if hit:
+                out += [(at + s, at + e) for s, e in hit]
         return out
 
 
-def labelled(text: str) -> list[tuple[list, list, list]]:
+def labelled(text: str, known: dict | None = None, tails: dict | None = None) -> list[tuple[list, list, list]]:
     """(columns, allowed, tags) of the chains of a text, tagged by the patterns; those with a secret also without their neighbours."""
-    found, out = [(own, end) for _, _, end, own in matches(text)], []
-    for tokens, columns, allowed in chains(text):
+    found, out, lo = sorted((own, end) for _, _, end, own in matches(text)), [], 0
+    for tokens, columns, allowed in chains(text, known, tails):
         tags, open_ = [], None
-        for (word, start), can in zip(tokens, allowed, strict=True):
-            hit = next((x for x in found if x[0] <= start and start + len(word) <= x[1]), None)
-            tag = OUT if hit is None else IN if hit == open_ and can[IN] else BEGIN if can[BEGIN] else OUT
-            open_ = hit if tag else None
-            tags.append(tag)
-        out.append((columns[:LEARNT], allowed[:LEARNT], tags[:LEARNT]))
-        if any(tags):
-            out.append(([[c for c in x if not 27 <= c < 36] for x in columns[:LEARNT]], allowed[:LEARNT], tags[:LEARNT]))
+        while lo < len(found) and found[lo][1] <= tokens[0][1]:
+            lo += 1
+        for word, start in tokens:
+            hit = None
+            for x in found[lo:] if lo < len(found) and found[lo][0] <= start else ():
+                if x[0] > start:
+                    break
+                if start + len(word) <= x[1]:
+                    hit = x
+                    break
+            tags.append(OUT if hit is None else IN if hit == open_ else BEGIN)
+            open_ = hit
+        at = 0
+        while at < len(tags):
+            end = min(at + LEARNT, len(tags))
+            while end < len(tags) and tags[end - 1] != OUT:
+                end += 1
+            out.append((columns[at:end], [(True, True, i > 0) for i in range(end - at)], tags[at:end]))
+            if any(tags[at:end]):
+                out.append(([[c for c in x if not 27 <= c < 36] for x in columns[at:end]], out[-1][1], tags[at:end]))
+            at = end
     return out
 
 
-def fitted(examples: list[tuple[list, list, list]], steps: int = STEPS) -> Field | None:
-    """Weights of the greatest regularised likelihood, by gradient ascent with forward-backward over all chains at once."""
+def fitted(examples: list[tuple[list, list, list]], steps: int = STEPS, counts: list[int] | None = None) -> Field | None:
+    """Weights of the greatest regularised likelihood, by gradient ascent with forward-backward over all chains at once.
+
+    counts: how often each example occurs. Chains of like length are padded together.
+    """
     if not any(any(t) for _, _, t in examples):
         return None
-    n, length = len(examples), max(len(t) for _, _, t in examples)
-    x = np.zeros((n, length, FEATURES), np.float32)
-    ban = np.zeros((n, length, 3))
-    gold, live = np.zeros((n, length), np.int64), np.zeros((n, length), bool)
-    for i, (columns, allowed, tags) in enumerate(examples):
-        live[i, : len(tags)], gold[i, : len(tags)] = True, tags
-        for j, c in enumerate(columns):
-            x[i, j, c] = 1
-            ban[i, j, ~np.array(allowed[j])] = -1e6
-    ban[~live] = [0, -1e6, -1e6]
-    one = np.eye(3)[gold] * live[..., None]
+    like: dict[int, list] = {}
+    for (columns, _, tags), k in zip(examples, counts or [1] * len(examples), strict=True):
+        like.setdefault((len(tags) - 1).bit_length(), []).append((columns, tags, k))
     w, t = np.zeros((FEATURES, 3)), np.zeros((3, 3))
-    before = np.concatenate([np.zeros((n, 1), np.int64), gold[:, :-1]], axis=1)
-    gold_steps = np.zeros((3, 3))
-    np.add.at(gold_steps, (before[live], gold[live]), 1)
-    flat = x.reshape(-1, FEATURES)
-    gold_w = flat.T @ one.reshape(-1, 3)
+    gold_w, gold_steps, weight, groups = np.zeros_like(w), np.zeros_like(t), 0, []
+    for held in like.values():
+        n, length = len(held), max(len(tags) for _, tags, _ in held)
+        x = np.zeros((n, length, FEATURES), np.float32)
+        gold, live = np.zeros((n, length), np.int64), np.zeros((n, length), bool)
+        for i, (columns, tags, _) in enumerate(held):
+            live[i, : len(tags)], gold[i, : len(tags)] = True, tags
+            for j, c in enumerate(columns):
+                x[i, j, c] = 1
+        many = np.array([k for _, _, k in held], float)
+        ban = np.zeros((n, length, 3))
+        ban[~live] = [0, -1e6, -1e6]
+        before = np.concatenate([np.zeros((n, 1), np.int64), gold[:, :-1]], axis=1)
+        np.add.at(gold_steps, (before[live], gold[live]), np.broadcast_to(many[:, None], live.shape)[live])
+        flat = x.reshape(-1, FEATURES)
+        mass = live * many[:, None]
+        gold_w += flat.T @ (np.eye(3)[gold] * mass[..., None]).reshape(-1, 3).astype(np.float32)
+        weight += many.sum()
+        groups.append((n, length, flat, ban, mass))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
     total = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
     for step in range(1, steps + 1):
-        s = (flat @ w).reshape(n, length, 3) + ban
         tt = t.copy()
         tt[OUT, IN] = -1e6
-        alpha = [tt[OUT] + s[:, 0]]
-        for j in range(1, length):
-            alpha.append(total(alpha[-1][:, :, None] + tt, 1) + s[:, j])
-        z = total(alpha[-1], 1)[:, None]
-        beta, marginal, pairs = np.zeros((n, 3)), np.zeros((n, length, 3)), np.zeros((3, 3))
-        for j in range(length - 1, -1, -1):
-            marginal[:, j] = np.exp(alpha[j] + beta - z)
-            if j:
-                both = np.exp(alpha[j - 1][:, :, None] + tt + (s[:, j] + beta)[:, None] - z[:, :, None])
-                pairs += both[live[:, j]].sum(axis=0)
-                beta = total(tt + (s[:, j] + beta)[:, None], 2)
-        pairs[OUT] += marginal[:, 0].sum(axis=0)
-        marginal *= live[..., None]
-        grads = [(gold_w - flat.T @ marginal.reshape(-1, 3)) / n - 1e-4 * w, (gold_steps - pairs) / n - 1e-4 * t]
+        want_w, pairs = np.zeros_like(w), np.zeros((3, 3))
+        for n, length, flat, ban, mass in groups:
+            s = (flat @ w.astype(np.float32)).reshape(n, length, 3) + ban
+            alpha = [tt[OUT] + s[:, 0]]
+            for j in range(1, length):
+                alpha.append(total(alpha[-1][:, :, None] + tt, 1) + s[:, j])
+            z = total(alpha[-1], 1)[:, None]
+            beta, marginal = np.zeros((n, 3)), np.zeros((n, length, 3))
+            for j in range(length - 1, -1, -1):
+                marginal[:, j] = np.exp(alpha[j] + beta - z)
+                if j:
+                    both = np.exp(alpha[j - 1][:, :, None] + tt + (s[:, j] + beta)[:, None] - z[:, :, None])
+                    pairs += (both * mass[:, j, None, None]).sum(axis=0)
+                    beta = total(tt + (s[:, j] + beta)[:, None], 2)
+            marginal *= mass[..., None]
+            pairs[OUT] += marginal[:, 0].sum(axis=0)
+            want_w += flat.T @ marginal.reshape(-1, 3).astype(np.float32)
+        grads = [(gold_w - want_w) / weight - 1e-4 * w, (gold_steps - pairs) / weight - 1e-4 * t]
         for k, (p, g) in enumerate(zip((w, t), grads, strict=True)):  # Adam
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * g
             moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * g * g
@@ -245,14 +319,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int
     rows = docs.filter(F.col(id_col).isin(chosen)).select(F.col(id_col).cast("string").alias("doc"), F.col(text).alias("text"))
 
     def make(batches):
+        known, tails = {}, {}
         for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = labelled(value or "")
-                yes, no = [x for x in found if any(x[2])][:40], [x for x in found if not any(x[2])][:10]
-                yield pa.record_batch([pa.array([doc], pa.string()), pa.array([json.dumps(yes + no)], pa.string())], names=["doc", "chains"])
+            seen = Counter(json.dumps([x[0], x[2]]) for value in batch.column(1).to_pylist() for x in labelled(value or "", known, tails))
+            yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chain", "n"])
 
-    found = sorted((r["doc"], r["chains"]) for r in rows.mapInArrow(make, "doc string, chains string").collect())
-    return fitted([tuple(x) for _, c in found for x in json.loads(c)][:CHAINS])
+    found = sorted((r["chain"], r["n"]) for r in rows.mapInArrow(make, "chain string, n long").groupBy("chain").agg(F.sum("n").alias("n")).collect())
+    examples = [(columns, [], tags) for columns, tags in (json.loads(c) for c, _ in found)]
+    return fitted(examples, counts=[n for _, n in found])
 
 
 def found(text: str, field: Field | None) -> list[tuple[int, str, int, int]]:
