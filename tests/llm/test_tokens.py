@@ -103,6 +103,35 @@ def test_search_empties_a_bin_that_best_fit_leaves():
     assert sum(packing.search(bins, 100).values()) == 2
 
 
+def left(bins, capacity):
+    """Pairs of bins that could still exchange, unless no bin can be spared."""
+    if sum((capacity - sum(p)) * m for p, m in bins.items()) < capacity:
+        return []
+    return [(a, b) for a in bins for b in bins if sum(a) >= sum(b) and (a != b or bins[a] > 1) and packing.exchange(a, b, capacity)]
+
+
+def test_search_reaches_partners_behind_many_that_can_do_nothing():
+    lengths = Counter({x: 2 for x in range(1379, 1521)}) + Counter({1340: 3 * 142})
+    done = packing.search(packing.best_fit(lengths, 4096), 4096)
+    assert sum(x * m for p, m in done.items() for x in p) == sum(x * m for x, m in lengths.items())
+    assert left(done, 4096) == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_ends_when_no_pair_can_exchange(seed):
+    rng = random.Random(seed)
+    lengths = Counter(rng.randint(*[(20, 60), (30, 55), (15, 80)][seed % 3]) for _ in range(300))
+    fit = packing.best_fit(lengths, 100)
+    done = packing.search(fit, 100)
+    held = Counter()
+    for pattern, m in done.items():
+        assert sum(pattern) <= 100
+        for x in pattern:
+            held[x] += m
+    assert held == lengths and sum(done.values()) <= sum(fit.values())
+    assert left(done, 100) == []
+
+
 @pytest.mark.parametrize(("a", "b"), [((60,), (30, 10)), ((50, 30), (45,)), ((50, 30), (15, 10)), ((40, 40), (90,))])
 def test_exchange_fills_the_fuller_bin(a, b):
     moved = packing.exchange(a, b, 100)

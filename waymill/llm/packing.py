@@ -4,7 +4,8 @@ Only lengths matter for a packing, and there are at most `capacity` of them. So
 histogram of lengths, whatever the number of documents: bins with equal contents are one *pattern* with a
 multiplicity. Best fit fills the patterns; the local search then exchanges one-for-one, two-for-one or moves
 between pairs of underfull patterns, for as many bins of both as can take part at once, whenever that increases
-the sum of squared fills, until bins run empty and are dropped. Pieces find their place by their rank among the
+the sum of squared fills; bins that run empty are dropped. Partners are found by room and by the lengths that they
+hold, and the search ends when no pair can exchange or no fewer bins can hold the pieces. Pieces find their place by their rank among the
 pieces of equal length.
 
 Null text is empty; an empty document has just its end token. Rows with equal ids are separate documents. An
@@ -14,6 +15,7 @@ empty table gives an empty packing. Other columns are left behind, whatever thei
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections import Counter, defaultdict
 
@@ -27,10 +29,6 @@ from .bpe import encoder
 
 CAPACITY = 4096
 END = 1
-#: Rounds of the local search.
-ROUNDS = 4
-#: Partners that a pattern tries, and patterns that may find none before a round ends.
-TRIES = 64
 #: Pieces of one length that one task numbers.
 RANKED = 1_000_000
 
@@ -116,7 +114,7 @@ def exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     taken = [((x,), x) for x in ones] + [((x, y), x + y) for i, x in enumerate(ones) for y in ones[i:] if x != y or b.count(x) > 1]
     own = sorted(set(a))
     given = [((), 0)] + [((x,), x) for x in own]
-    pairs = [((x, y), x + y) for i, x in enumerate(own) for y in own[i:] if x != y or a.count(x) > 1] if len(own) <= 64 else []
+    pairs = [((x, y), x + y) for i, x in enumerate(own) for y in own[i:] if x != y or a.count(x) > 1]
     for takes, gives in ((taken, given), (taken[: len(ones)], pairs)):
         sums = [s for _, s in gives]
         order = sorted(range(len(gives)), key=sums.__getitem__)
@@ -137,44 +135,114 @@ def _swap(bin_: tuple, less: tuple, more: tuple) -> tuple:
     return tuple(sorted([*out, *more], reverse=True))
 
 
-def search(bins: Counter, capacity: int, rounds: int = ROUNDS) -> Counter:
+def _pairs(pattern: tuple) -> set[int]:
+    """Sums of two lengths of a pattern."""
+    own = sorted(set(pattern))
+    return {x + y for i, x in enumerate(own) for y in own[i:] if x != y or pattern.count(x) > 1}
+
+
+class _Underfull:
+    """Underfull patterns by the lengths (0: every pattern) and by the sums of two lengths that they hold, each by room."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.ones, self.twos = {}, {}
+        self.one_keys, self.two_keys = [], []
+
+    def change(self, pattern: tuple, add: bool) -> None:
+        entry = (self.capacity - sum(pattern), pattern)
+        for lists, keys, own in ((self.ones, self.one_keys, {0, *pattern}), (self.twos, self.two_keys, _pairs(pattern))):
+            for k in own:
+                if add:
+                    if k not in lists:
+                        lists[k] = []
+                        bisect.insort(keys, k)
+                    bisect.insort(lists[k], entry)
+                else:
+                    held = lists[k]
+                    del held[bisect.bisect_left(held, entry)]
+                    if not held:
+                        del lists[k]
+                        del keys[bisect.bisect_left(keys, k)]
+
+    def fuller(self, b: tuple, alone: bool) -> tuple | None:
+        """The pattern, no emptier than b, that can take most from it; alone: only one bin has pattern b."""
+        room, best, found = self.capacity - sum(b), 0, None
+        ones = set(b)
+        for takes, tables in ((ones, ((self.ones, self.one_keys), (self.twos, self.two_keys))), (_pairs(b), ((self.ones, self.one_keys),))):
+            for x in takes:
+                for lists, keys in tables:
+                    for i in range(bisect.bisect_left(keys, x - room), bisect.bisect_left(keys, x - best)):
+                        held = lists[keys[i]]
+                        at = bisect.bisect_left(held, (room + 1,)) - 1
+                        if at >= 0 and alone and held[at][1] == b:
+                            at -= 1
+                        if at >= 0 and held[at][0] >= x - keys[i]:
+                            best, found = x - keys[i], held[at][1]
+                            break
+        return found
+
+    def emptier(self, a: tuple, alone: bool) -> tuple | None:
+        """A pattern, no fuller than a, that can give to it; alone: only one bin has pattern a."""
+        room = self.capacity - sum(a)
+        both, one = ((self.ones, self.one_keys), (self.twos, self.two_keys)), ((self.ones, self.one_keys),)
+        for gives, tables in (({0, *a}, both), (_pairs(a), one)):
+            for g in gives:
+                for lists, keys in tables:
+                    for i in range(bisect.bisect_right(keys, g), bisect.bisect_right(keys, g + room)):
+                        held = lists[keys[i]]
+                        at = len(held) - 1
+                        if alone and held[at][1] == a:
+                            at -= 1
+                        if at >= 0 and held[at][0] >= room:
+                            return held[at][1]
+        return None
+
+
+def search(bins: Counter, capacity: int) -> Counter:
     """Empties the least full patterns into the others by exchanges that increase squared fill.
 
-    A round takes the least full pattern again and again and gives what it can to those with the most room.
-    One that nothing can be done for is left alone for the rest of the round. Without a change, or with less
-    free room in all than a bin holds, the search ends.
+    The least full pattern that is not settled gives to a fuller one, or takes from an emptier one; with neither it
+    is settled until it gets more bins. Whatever an exchange makes is unsettled, so at the end no pair can exchange,
+    unless less room is left in all than a bin holds, when no bin can be spared.
     """
-    bins = Counter(bins)
-    for _ in range(rounds):
-        under = sorted((sum(p), p) for p, m in bins.items() if sum(p) < capacity)
-        if sum((capacity - s) * bins[p] for s, p in under) < capacity:
-            break
-        changed, stuck = False, 0
-        while len(under) > 1 and stuck < TRIES:
-            s, b = under.pop(0)
-            if not bins[b]:
+    bins, index = Counter(bins), _Underfull(capacity)
+    free = sum((capacity - sum(p)) * m for p, m in bins.items())
+    todo = [(sum(p), p) for p in bins if sum(p) < capacity]
+    if free < capacity:
+        return bins
+    for _, p in todo:
+        index.change(p, True)
+    heapq.heapify(todo)
+    while todo and free >= capacity:
+        _, p = heapq.heappop(todo)
+        if not bins[p]:
+            continue
+        alone = bins[p] == 1
+        a, b = index.fuller(p, alone), p
+        if a is None:
+            a, b = p, index.emptier(p, alone)
+            if b is None:
                 continue
-            for _, a in under[:TRIES]:
-                if bins[a] and (moved := exchange(a, b, capacity)):
-                    changed, m = True, min(bins[a], bins[b])
-                    for p in (a, b):
-                        bins[p] -= m
-                    for p in moved:
-                        if p:
-                            bins[p] += m
-                            x = (sum(p), p)
-                            i = bisect.bisect_left(under, x)
-                            if x[0] < capacity and under[i : i + 1] != [x]:
-                                under.insert(i, x)
-                    if bins[b]:
-                        bisect.insort(under, (s, b))
-                    break
+        m = bins[p] // 2 if a == b else min(bins[a], bins[b])
+        made = exchange(a, b, capacity)
+        for q in (a, b):
+            bins[q] -= m
+        for q in {a, b}:
+            if bins[q]:
+                heapq.heappush(todo, (sum(q), q))
             else:
-                stuck += 1
-        bins = +bins
-        if not changed:
-            break
-    return bins
+                index.change(q, False)
+        for q in made:
+            if not q:
+                free -= capacity * m
+                continue
+            if not bins[q] and sum(q) < capacity:
+                index.change(q, True)
+            bins[q] += m
+            if sum(q) < capacity:
+                heapq.heappush(todo, (sum(q), q))
+    return +bins
 
 
 def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> Counter:
