@@ -159,7 +159,7 @@ class Field:
 
     def __init__(self, weights: np.ndarray, steps: np.ndarray):
         self.weights, self.steps = weights, steps.copy()
-        self.known, self.older, self.tails = {}, {}, {}
+        self.known, self.older, self.tails, self.decoded = {}, {}, {}, {}
         self.steps[OUT, IN] = -1e6
 
     def scores(self, columns: list[list[int]], allowed: list[tuple]) -> np.ndarray:
@@ -187,7 +187,13 @@ class Field:
         """Spans of one part, from its start."""
         out, at = [], None
         tokens, columns, allowed = chain(text, start, end, own)
-        for (word, place), tag in zip([*tokens, ("", end)], [*self.decode(columns, allowed), OUT], strict=True):
+        key = tuple(map(tuple, columns[: SHORT + 1]))
+        tags = self.decoded.get(key) if len(columns) <= SHORT else None
+        if tags is None:
+            tags = self.decode(columns, allowed)
+            if len(columns) <= SHORT and len(self.decoded) < KNOWN:
+                self.decoded[key] = tags
+        for (word, place), tag in zip([*tokens, ("", end)], [*tags, OUT], strict=True):
             if tag != IN and at is not None:
                 out.append(tuple(at))
                 at = None
