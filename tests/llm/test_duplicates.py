@@ -1,11 +1,13 @@
+import hashlib
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from waymill.llm import exact, jaccard, lines, phrases
+from waymill.llm import common, exact, jaccard, lines, phrases
 
 from .conftest import texts_of
 
@@ -166,6 +168,37 @@ def test_exact_equals_brute_force(docs):
         assert (r.keep_id, r.group_size, r.kept, r.lang) == (min(own)[1], len(own), r.doc_id == min(own)[1], "en")
 
 
+def test_texts_are_hashed_in_full_only_where_length_and_prefix_are_shared(spark):
+    head = "x" * exact.PREFIX
+    frame = spark.createDataFrame([(1, head + "a"), (2, head + "b"), (3, head + " a"), (4, head + "abc"), (5, "y" + head), (6, None), (7, "")], "doc_id long, text string")
+    sized = frame.select(exact.bare(F.col("text")).alias("b")).select(F.length("b").alias("_size"), F.xxhash64(F.substring("b", 1, exact.PREFIX)).alias("_head"))
+    assert sorted(r["_size"] for r in exact.crowded(sized).collect()) == [0, exact.PREFIX + 1]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.d) for r in exact.groups(frame, digest="d").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[3] == (3, 2, True, sha(head + "a")) and got[1][:3] == (3, 2, False)
+    assert got[2] == (2, 1, True, sha(head + "b")) and got[4] == (4, 1, True, sha(head + "abc"))
+    assert got[6][:3] == (6, 2, True) and got[7][:3] == (6, 2, False)
+
+
+@pytest.mark.parametrize("hot", [1, 5, 1000])
+def test_hot_groups_of_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(exact, "HOT", hot)
+    frame = spark.createDataFrame([(i, "all the same " + " " * (i % 3)) for i in range(50)] + [(100 + i, f"text {i // 2}") for i in range(60)], "doc_id long, text string")
+    rows = exact.groups(frame).collect()
+    assert {(r.keep_id, r.group_size) for r in rows if r.doc_id < 50} == {(2, 50)}
+    assert all((r.keep_id, r.group_size, r.kept) == (r.doc_id // 2 * 2, 2, r.doc_id % 2 == 0) for r in rows if r.doc_id >= 100)
+
+
+def test_a_sieve_never_misses(spark):
+    frame = spark.range(4000).selectExpr("id", "xxhash64(id) as h")
+    seen = common.sifted(frame, F.col("h"), frame.filter("id % 7 = 0").select("h"))
+    rows = {r.id: r["_maybe"] for r in seen.select("id", "_maybe").collect()}
+    assert len(rows) == 4000 and all(rows[i] for i in range(0, 4000, 7)) and sum(rows.values()) < 600
+    kept = common.without(frame, frame.filter("id % 7 = 0"), ["id", "h"])
+    assert sorted(r.id for r in kept.collect()) == [i for i in range(4000) if i % 7]
+    assert common.without(frame, frame.limit(0), ["id"]).count() == 4000
+
+
 def test_exact_of_odd_rows(odd, none):
     rows = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.groups(odd).collect()), key=str)
     assert rows == sorted([(1, None, 3, False), (1, None, 3, False), (None, None, 3, True), (None, None, 3, True), (2, None, 3, False), (3, None, 3, False)], key=str)

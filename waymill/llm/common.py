@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,11 @@ BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 256 << 20
 #: Spark's own bound on the buckets of a table.
 MAX_BUCKETS = 100_000
+#: Bytes of a block for each shard that it keeps a list for, and the most that a block may have: lists stay worth
+#: their row when there are many shards.
+LIST_BYTES, MOST_BYTES = 64 << 10, 256 << 20
+#: Bits of a sieve, a power of two: 8 MB, whatever the data.
+SIEVE_BITS = 1 << 26
 #: White space of the contracts: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -35,10 +41,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; where none is set, one of this machine if Spark runs here alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="llm-"))
     return f"file://{_own_dir[0]}"
@@ -69,6 +77,52 @@ def shards_for(spark: SparkSession, n_bytes: int) -> int:
     return min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / SHARD_BYTES)))
 
 
+def block_bytes(shards: int) -> int:
+    """Text bytes of a block, so that blocks x shards grows with the data and not with its square."""
+    return min(MOST_BYTES, max(BLOCK_BYTES, shards * LIST_BYTES))
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(key, F.lit(SIEVE_BITS)) + 1
+
+
+def sifted(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """df with _maybe: false where key (a long) is certainly not among those of wanted (one column of longs).
+
+    The keys become a bitmap of SIEVE_BITS, which goes to every task: its size has a bound that is known. No row
+    of df moves. Where the bitmap is full all rows are maybe there, which costs time and changes no result.
+    """
+    bits = wanted.select(_bit(F.col(wanted.columns[0])).alias("_x")).select(F.bitmap_bucket_number("_x").alias("_bucket"), F.bitmap_bit_position("_x").alias("_at"))
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    placed = df.withColumn("_key", _bit(key)).withColumn("_bucket", F.bitmap_bucket_number("_key"))
+    joined = placed.join(F.broadcast(bits), "_bucket", "left")
+    at = F.bitmap_bit_position("_key")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return joined.withColumn("_maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_key", "_bucket", "_bits")
+
+
+def without(df: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
+    """df less the rows whose columns on are in dropped. Only rows that the sieve cannot clear are exchanged."""
+    key = F.xxhash64(*on)
+    seen = sifted(df, key, dropped.select(key.alias("_x")))
+    unsure = seen.filter("_maybe").join(dropped.select(*on).distinct(), on, "left_anti").select(*df.columns)
+    return seen.filter("not _maybe").select(*df.columns).unionByName(unsure)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _file and _row, which name each row: its place in the files that docs is read from.
+
+    Rows that come from no file are written first. Unlike numbers that a task gives, places stay the same when
+    rows are read again, by any number of executors.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    try:
+        return docs.select(*own, *place)
+    except AnalysisException:
+        return written(docs).select(*own, *place)
+
+
 def whole(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text as bytes): null text is empty, other columns are left behind."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))

@@ -67,8 +67,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).withColumn("text_sha256", F.sha2(exact.bare(F.col("text")), 256))
-    return exact.groups(docs, carry=["text_sha256"])
+    return exact.groups(_documents(spark, sf_dir), digest="text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

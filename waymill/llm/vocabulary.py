@@ -42,13 +42,15 @@ def dealt(words: list[bytes], n: int) -> tuple[np.ndarray, list[list[int]]]:
     return place, parts
 
 
-def blocks(docs: DataFrame, n: int, lower: bool = False, trained: Callable[[object], bool] | None = None, limit: int = C.BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, n: int, lower: bool = False, trained: Callable[[object], bool] | None = None) -> DataFrame:
     """A written table of blocks (see BLOCK). docs: doc_id, text as bytes.
 
     words: the number of the word at every position of the block's texts; vocab: the distinct words of each
     shard; weights, with trained: how often each of them occurs in the texts whose id is to be learnt from.
     """
 
+    limit = C.block_bytes(n)
+
     def make(batches):
         for block, ids, texts in C.gathered(batches, limit):
             words, numbers, counts = indexed([t.lower() for t in texts] if lower else texts)
