@@ -79,6 +79,61 @@ def test_links_equal_brute_force(docs, monkeypatch, n, percent, star):
     assert got == jaccard_truth(texts_of(docs), n, percent)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_signatures_rule_out_no_similar_pair(seed):
+    rng = np.random.default_rng(seed)
+    base, sets = rng.integers(0, 1 << 63, 3000).astype(np.uint64), []
+    for _ in range(60):
+        size = int(rng.integers(1, 700)) if rng.random() < 0.7 else int(rng.integers(1, 12))
+        own = base[:size].copy()
+        change = rng.random(size) < rng.choice([0.0, 0.04, 0.2])
+        own[change] = rng.integers(0, 1 << 63, int(change.sum())).astype(np.uint64)
+        sets.append(np.unique(own))
+    sets.sort(key=len)
+    signed = [jaccard.counts_of(jaccard.signature(x), len(x)) for x in sets]
+    assert all(int(c.sum()) == len(x) for c, x in zip(signed, sets, strict=True))
+    pairs = jaccard.possible([len(x) for x in sets], signed, 85)
+    root = list(range(len(sets)))
+    for a, b in pairs:
+        root = [root[a] if r == root[b] else r for r in root]
+    truth = jaccard_truth_sets([set(x.tolist()) for x in sets], 85)
+    for i in range(len(sets)):
+        for j in range(i):
+            assert truth[i] != truth[j] or root[i] == root[j]
+    assert len(pairs) < len(sets)
+    assert len(set(root)) > 5
+
+
+def test_runs_keep_all_that_may_be_similar(monkeypatch):
+    rng = np.random.default_rng(3)
+    for near in (1, 3, 24):
+        monkeypatch.setattr(jaccard, "NEAR", near)
+        for _ in range(200):
+            n = int(rng.integers(2, 12))
+            size = np.sort(rng.integers(10, 20, n))
+            place = (rng.random(n) * size * 0.4).astype(np.int64)
+            keep = jaccard._near(size, place, np.zeros(n, np.int64), np.full(n, n), 85)
+            for i in range(n):
+                for j in range(n):
+                    if i != j and 185 * min(size[i] - place[i], size[j] - place[j]) >= 85 * (size[i] + size[j]):
+                        assert keep[i] and keep[j]
+
+
+def test_lists_of_prefixes_come_back():
+    rng = np.random.default_rng(4)
+    rows = {int(g): (rng.integers(0, 1 << 63, int(rng.integers(1, 9))).astype(np.uint64), int(g) % 50 + 9) for g in rng.integers(1, 1 << 62, 30)}
+    found = [e for x in jaccard._prefixes(rows, 3) for e in zip(*(c.tolist() for c in jaccard._prefix_list(x)), strict=True)]
+    assert sorted(e[1:] for e in found) == sorted((g, size, i) for g, (tokens, size) in rows.items() for i in range(len(tokens)))
+
+
+def test_rows_with_equal_ids_are_told_apart(spark):
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    texts = [(5, 1, " ".join(words)), (5, 2, " ".join([*words, "more"])), (5, 3, "quite another text of more than five words"), (7, 4, " ".join(words)), (5, 9, "")]
+    frame = spark.createDataFrame([(i, 0, p, t) for i, p, t in texts], "doc_id long, f long, p long, text string")
+    rows = jaccard.clustered(frame, place=("f", "p")).collect()
+    assert {(r.doc_id, r.p): (r.component_id, r["first"]) for r in rows} == {(5, 1): (5, True), (5, 2): (5, False), (5, 3): (5, True), (7, 4): (5, False), (5, 9): (5, True)}
+
+
 def test_links_of_odd_rows(odd, none):
     rows = jaccard.clustered(odd).collect()
     assert len(rows) == 6
@@ -182,7 +237,7 @@ def test_texts_are_hashed_in_full_only_where_length_and_prefix_are_shared(spark)
 
 @pytest.mark.parametrize("hot", [1, 5, 1000])
 def test_hot_groups_of_copies(spark, monkeypatch, hot):
-    monkeypatch.setattr(exact, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     frame = spark.createDataFrame([(i, "all the same " + " " * (i % 3)) for i in range(50)] + [(100 + i, f"text {i // 2}") for i in range(60)], "doc_id long, text string")
     rows = exact.groups(frame).collect()
     assert {(r.keep_id, r.group_size) for r in rows if r.doc_id < 50} == {(2, 50)}

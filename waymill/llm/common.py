@@ -34,6 +34,8 @@ MAX_BUCKETS = 100_000
 LIST_BYTES, MOST_BYTES = 64 << 10, 256 << 20
 #: Bits of a sieve, a power of two: 8 MB, whatever the data.
 SIEVE_BITS = 1 << 26
+#: A key with more than one in this many of all rows is hot; there are fewer than this many.
+HOT = 1000
 #: White space of the contracts: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -109,6 +111,18 @@ def without(df: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
     return seen.filter("not _maybe").select(*df.columns).unionByName(unsure)
 
 
+def met(rows: DataFrame, table: DataFrame, on: list[str], often: str) -> DataFrame:
+    """rows joined to the one row that table has for each key. often: the column of table that counts the rows of a key.
+
+    A key with more than one in HOT of all rows meets its row where its rows are: there are fewer than HOT such keys,
+    few enough for every task. Only rows of other keys are exchanged.
+    """
+    least = (table.agg(F.sum(often)).first()[0] or 0) // HOT
+    hot, cold = table.filter(F.col(often) > least), table.filter(F.col(often) <= least)
+    there = rows.join(F.broadcast(hot), on)
+    return there.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with _file and _row, which name each row: its place in the files that docs is read from.
 

@@ -25,8 +25,6 @@ from . import common as C
 PREFIX = 128
 #: The white space of the contract, for translate and trim.
 BLANKS = " \t\n\x0b\x0c\r"
-#: A group with more than one in this many of all rows is hot; there are fewer than this many.
-HOT = 1000
 
 
 def bare(text: Column) -> Column:
@@ -61,11 +59,5 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: S
     rows = hashed.filter("_full is not null")
     first = F.min(F.struct((-F.col("_chars")).alias("c"), "doc_id", "_n"))
     best = C.written(rows.groupBy("_size", "_full").agg(F.count("*").alias("group_size"), first.alias("_best")))
-    # A hot group meets its one row where its rows are; so many groups are few enough for every task.
-    least = hashed.count() // HOT
-    hot = best.filter(F.col("group_size") > least)
-    cold = best.filter(F.col("group_size") <= least)
-    hot_rows = rows.join(F.broadcast(hot), ["_size", "_full"])
-    cold_rows = rows.join(F.broadcast(hot.select("_size", "_full")), ["_size", "_full"], "left_anti").join(cold, ["_size", "_full"])
-    many = hot_rows.unionByName(cold_rows).select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_n") == F.col("_best._n")).alias("kept"), *out)
+    many = C.met(rows, best, ["_size", "_full"], "group_size").select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_n") == F.col("_best._n")).alias("kept"), *out)
     return many.unionByName(one)
