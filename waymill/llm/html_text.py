@@ -1,14 +1,16 @@
 """Main text of HTML pages by composite text density.
 
-A page becomes a tree without scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and
-reader comments (by element, role, class or id). Every node gets its composite density: characters per tag,
-lowered where much of the text is links. The density sum of a node adds those of its children. The least density
-on the path from the body to the node with the largest sum is the threshold. From the body down, whatever reaches
-it gives its subtree with the largest sum, and so do its children beside that; an enclosing article is taken whole.
-
-Null, empty or textless html gives an empty text. Pages may be of any length; each row is extracted alone, so
-repeated rows and ids stay as they are. An empty table gives an empty result. Other columns are left behind,
-whatever their names.
+A page becomes a tree without scripts, styles, forms, menus, headers, footers and sidebars (by element or role) and,
+outside of an article, without what its class or id calls a notice, an advert, comments and the like. Every node
+gets its composite density: characters per tag, lowered where much of the text is links. The density sum of a node
+adds those of its children. The least density on the path from the body to the node with the largest sum is the
+threshold. From the body down, whatever reaches it gives its subtree with the largest sum, and so do its children
+beside that. Headings beside a subtree go with it. Within an article a class or an id decides nothing alone: a block
+that it marks goes if its density is below the threshold.
+
+Null, empty or textless html gives an empty text. Pages may be of any length and cut off anywhere; each row is
+extracted alone, so repeated rows and ids stay as they are. An empty table gives an empty result. Other columns are
+left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ BLOCKS = frozenset(
 )
 #: What a start tag ends, and the elements beyond which it doesn't reach.
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tr": ("tr", ("table",)), "option": ("option", ("select",))}
+#: Elements that only dress the text of the element they stand in; they are no nodes and count as no tags.
+INLINE = frozenset("abbr b bdi bdo big br cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 #: Words of a class or an id that tell what is no article text.
 MARKS = frozenset(
@@ -40,7 +45,9 @@ MARKS = frozenset(
 #: Marks that count only outside an article.
 OUTSIDE = frozenset(["header", "topbar", "top"])
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(/?)>""", re.S)
+#: A comment, a declaration, a tag whose quotes are closed, any other tag. What a tag has taken it doesn't give back,
+#: so that the time for a page grows with its length.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[^a-z0-9]+")
 
@@ -49,26 +56,30 @@ _EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text",
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "top")
+    __slots__ = ("tag", "parent", "parts", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total", "top")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.parts = tag, parent, []  # parts: texts and nodes, in page order
+        self.tag, self.parent, self.parts, self.marked = tag, parent, [], False  # parts: texts and nodes, in page order
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> bool | None:
+    """Whether an element holds no article text; None: only its density can tell."""
     if tag in DROPPED or tag == "header" and not in_article:
         return True
     if not attributes or not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
+    out = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             words = set(WORD.split(value))
-            if words & MARKS or not in_article and words & OUTSIDE:
+            if not in_article and words & (MARKS | OUTSIDE):
                 return True
+            if words & MARKS:
+                out = None
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-    return False
+    return out
 
 
 def parse(page: str) -> Node:
@@ -85,10 +96,10 @@ def parse(page: str) -> Node:
         if not m:
             break
         at = m.end()
-        tag = (m[2] or "").lower()
+        tag, attributes = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
         if not tag:
             continue
-        if m[1]:
+        if m[1] or m[4]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     in_article -= sum(t in ("article", "main") for t, _ in stack[i:])
@@ -103,10 +114,14 @@ def parse(page: str) -> Node:
         if tag in ENDS:
             in_article -= _end(stack, tuple(ENDS[tag][0].split()), ENDS[tag][1])
         node = stack[-1][1]
-        own = None if node is None or _unwanted(tag, m[3], in_article > 0) else node if tag in ("html", "body") else Node(tag, node)
+        unwanted = True if node is None else _unwanted(tag, attributes, in_article > 0)
+        own = None if unwanted else node if tag in ("html", "body") or tag in INLINE and unwanted is False else Node(tag, node)
+        if tag == "br" and own is not None:
+            node.parts.append(" ")
         if own is not None and own is not node:
+            own.marked = unwanted is None
             node.parts.append(own)
-        if tag in VOID or m[4] and tag not in BLOCKS and tag not in RAW and tag not in ("a", "b", "i", "span"):
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in ("a", "b", "i", "span"):
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -166,7 +181,7 @@ def measure(root: Node) -> list[Node]:
 
 
 def selected(root: Node) -> list[Node]:
-    """The subtrees that hold the article, in page order."""
+    """The subtrees that hold the article, in page order. Marked blocks of an article that are below the threshold lose their text."""
     order = measure(root)
     if not root.chars:
         return []
@@ -176,27 +191,37 @@ def selected(root: Node) -> list[Node]:
     threshold, node = best.density, best
     while node is not None:
         threshold = min(threshold, node.density)
-        if node.tag in ("article", "main"):
-            return [node]
         node = node.parent
-    if best is root:
-        return [root]
-    marked, todo = set(), [root]
+    for x in order:
+        if x.marked and x.density < threshold:
+            x.parts.clear()
+    chosen, todo = set(), [root]
     while todo:
         x = todo.pop()
-        if x not in marked and x.chars and x.density >= threshold:
-            marked.add(x.top)
+        if x not in chosen and x.chars and x.density >= threshold:
+            chosen.add(root if best is root else x.top)
             todo += [y for y in x.parts if x.top is not x and isinstance(y, Node)]
+    for x in reversed(order):  # those above come first, so a lift can go on
+        if x not in chosen and _lifted(x, chosen):
+            chosen.add(x)
     out, todo = [], [root]
     while todo:
         x = todo.pop()
-        if x in marked:
+        if x in chosen:
             out.append(x)
         else:
             todo += [y for y in reversed(x.parts) if isinstance(y, Node)]
     return out or [best]
 
 
+def _lifted(x: Node, chosen: set) -> bool:
+    """Whether all that x holds beside chosen children are headings, one at least."""
+    if x.tag == "body" or any(isinstance(y, str) and y.strip() for y in x.parts):
+        return False
+    own = [y for y in x.parts if isinstance(y, Node) and y.chars]
+    return any(y in chosen for y in own) and any(y.tag in HEADINGS for y in own) and all(y in chosen or y.tag in HEADINGS for y in own)
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks below nodes, white space as one blank."""
     out: list[str] = []
@@ -215,8 +240,6 @@ def blocks(nodes: list[Node]) -> list[str]:
                 ended()
             elif isinstance(x, str):
                 run.append(x)
-            elif x.tag == "br":
-                run.append(" ")
             else:
                 block = x.tag in BLOCKS
                 if block:
