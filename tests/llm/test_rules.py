@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -76,6 +78,25 @@ def test_documents_that_share_most_lines_count_apart(spark):
     assert all(got[1000 + i].kept for i in range(400))
 
 
+def test_documents_with_one_line_of_their_own_are_depleted(spark):
+    rows = []
+    for seed in range(20):  # whichever of the lines has the least hash
+        rng = random.Random(seed)
+        shared = [f"Long line {c} of all pages of host {seed}: " + sentence(rng, 30) for c in "abc"]
+        rows += [(1000 * seed + i, "\n".join([*shared, sentence(rng, 5)]), f"host{seed}") for i in range(200)]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=["source"]).collect()
+    assert len(got) == 4000 and not any(r.kept or r.base_failed for r in got)
+    assert {r.source for r in got} == {f"host{i}" for i in range(20)}
+
+
+def test_few_words_left_are_depletion(spark):
+    rng = random.Random(3)
+    shared = "All of this is said on every page, " + sentence(rng, 12)
+    rows = [(i, shared + "\n" + sentence(rng, 40 if i % 2 else 55), "h") for i in range(40)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(r.kept == (r.doc_id % 2 == 0) and not r.base_failed and r.removed_words == 20 for r in got.values())
+
+
 def test_quality_of_odd_rows(odd, none):
     assert quality.judged(odd).count() == 6
     assert quality.judged(none).count() == 0
@@ -193,6 +214,50 @@ def test_pages_split_over_sibling_containers(n):
     assert html_text.main_text(f"<body><div><div>{deep}</div></div></body>") == want
 
 
+def test_densities_equal_plain_ones():
+    page = "<div><h1>Head line</h1><p>Some <b>text</b> with <a href='x'>two links</a> and <a>another</a><p>More text here</div><div><a>menu entry</a></div>"
+    root = html_text.parse(page)
+    order = html_text.measure(root)
+    chars = lambda x: sum(chars(y) if isinstance(y, html_text.Node) else len("".join(y.split())) for y in x.parts)
+    below = lambda x: [y for y in x.parts if isinstance(y, html_text.Node)] + [z for y in x.parts if isinstance(y, html_text.Node) for z in below(y)]
+    assert [x.tag for x in order if x.tag == "b"] == []
+    body_links = sum(chars(y) for y in below(root) if y.tag == "a")
+    for x in order:
+        c, t = chars(x), max(1, len(below(x)))
+        links = [y for y in [x, *below(x)] if y.tag == "a"]
+        lc, lt = sum(map(chars, links)), max(1, len([y for y in below(x) if y.tag == "a"]))
+        base = math.log(c / max(1, c - lc) * lc + body_links / chars(root) * c + math.e)
+        want = c / t * max(0, math.log(max(1, c / max(1, lc) * t / lt)) / math.log(base + math.e - 1))
+        assert x.density == pytest.approx(want)
+        assert x.total == pytest.approx(sum(y.density for y in x.parts if isinstance(y, html_text.Node)))
+
+
+LONG = "This paragraph has words enough to be a part of any article, and it goes on for quite a while longer."
+
+
+@pytest.mark.parametrize("mark", ["share-price", "social", "related", "side", "notice"])
+def test_classes_decide_nothing_alone_in_an_article(mark):
+    page = f"<body><nav><a>x</a></nav><article><p>{LONG}</p><div class='{mark}'><p>{LONG} Second.</p></div><div class='{mark}'><a href=a>tell</a> <a href=b>others</a></div><p>{LONG} Third.</p></article></body>"
+    assert html_text.main_text(page) == "\n\n".join([LONG, LONG + " Second.", LONG + " Third."])
+
+
+def test_headings_go_with_their_text():
+    page = f"<body><div class=x><h1>Short</h1><p>{LONG}</p></div><div><a>menu</a> <a>menu</a> <a>menu</a></div></body>"
+    assert html_text.main_text(page) == f"Short\n\n{LONG}"
+
+
+@pytest.mark.parametrize("tail", ['<a href="' + '"' * 10_001, "<a " + "'" * 10_001, "<div " + "a='x\" " * 5000, "<" * 10_000, "<!--" * 5000, "<a href=" * 5000])
+def test_pages_cut_off_in_a_tag_take_no_longer(tail):
+    began = time.perf_counter()
+    assert html_text.main_text(f"<article><p>{LONG}</p></article>" + tail).startswith(LONG)
+    assert time.perf_counter() - began < 1
+
+
+def test_very_long_pages():
+    page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    assert len(html_text.main_text(page)) == 20_000 * (len(LONG) + 2) - 2
+
+
 def test_pages_table(spark):
     frame = spark.createDataFrame([(1, "u", PAGE.format(article=f"<article>{INNER}</article>"), 5), (1, None, None, 6), (None, "v", "", 7)], "page_id long, url string, html string, text long")
     rows = html_text.extracted(frame).collect()

@@ -30,12 +30,13 @@ r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
 v AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE n > 1) GROUP BY doc_id),
 b AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN v USING (doc_id)),
-h AS (SELECT doc_id, source, translate(unnest(l), '{FROM[:-6]}' || {_BLANKS}, '{TO}') AS x FROM w),
-f AS (SELECT doc_id, source, min(md5(x)) AS family FROM h GROUP BY doc_id, source),
-o AS (SELECT h.source, x, count(DISTINCT family) AS n FROM h JOIN f USING (doc_id) GROUP BY h.source, x HAVING n > {LINE_DOCS}),
-s AS (SELECT source, count(DISTINCT family) AS n_docs FROM f GROUP BY source),
-c AS (SELECT o.source, x FROM o JOIN s USING (source) WHERE n > {LINE_SHARE} * n_docs),
-m AS (SELECT doc_id, sum(length(x)) AS removed FROM h JOIN c USING (source, x) GROUP BY doc_id),
-a AS (SELECT b.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(removed, 0) AS removed FROM b LEFT JOIN m USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (word_chars - removed < {LEAST_KEPT} * word_chars) AS kept FROM a
+h AS (SELECT doc_id, source, translate(unnest(l), '{FROM[:-6]}' || {_BLANKS}, '{TO}') AS x, len(regexp_extract_all(unnest(l), '[^\x20\x09-\x0D]+')) AS k FROM w),
+y AS (SELECT doc_id, source, list_transform(l, lambda x: translate(x, '{FROM[:-6]}' || {_BLANKS}, '{TO}')) AS text FROM w WHERE len(l) > 0),
+z AS (SELECT y.source, text, unnest(list_distinct(text)) AS x FROM y GROUP BY y.source, text),
+o AS (SELECT source, x, count(*) AS n FROM z GROUP BY source, x HAVING n > {LINE_DOCS}),
+s AS (SELECT source, count(DISTINCT text) AS n_docs FROM y GROUP BY source),
+c AS (SELECT o.source, x FROM o JOIN s ON o.source IS NOT DISTINCT FROM s.source WHERE n > {LINE_SHARE} * n_docs),
+m AS (SELECT doc_id, sum(length(h.x)) AS removed, sum(k) AS words FROM h JOIN c ON h.source IS NOT DISTINCT FROM c.source AND h.x = c.x GROUP BY doc_id),
+a AS (SELECT b.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(removed, 0) AS removed, coalesce(words, 0) AS words FROM b LEFT JOIN m USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_words - words < {LEAST_WORDS} OR word_chars - removed < {LEAST_KEPT} * word_chars) AS kept FROM a
 """

@@ -53,7 +53,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(_documents(spark, sf_dir)).drop("host", "row", "removed_chars")
+    return quality.judged(_documents(spark, sf_dir)).drop("host", "removed_chars", "removed_words")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
