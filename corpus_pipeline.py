@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written and read again as the next one's input.
 
-Every stage works on all rows of its input. Nulls, empty texts, repeated rows and empty tables are handled as
-the operators say; rows whose ids are equal are separate documents unless their texts make them duplicates.
+Every stage works on all rows of its input. Rows are told apart by their place in the files that a stage reads, so
+rows with equal ids are judged one by one. Nulls, empty texts, repeated rows, very long texts and empty tables are
+handled as the operators say; columns beyond those of documents are left behind.
 """
 
 from __future__ import annotations
@@ -13,32 +14,31 @@ from waymill.llm import common, exact, jaccard, packing, quality, secrets
 from waymill.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+PLACE = ("_file", "_row")
 
 
-def _kept(docs: DataFrame, verdict: DataFrame, once: bool = False) -> DataFrame:
-    """Documents whose id is among those of verdict; once: of rows with equal ids and texts one.
-
-    A merge join at every size, so that what it moves follows the input; it also puts equal ids together.
-    """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id")
-    ids = verdict.select(key).distinct()
-    out = docs.select(*COLUMNS, key).join(ids.hint("merge"), "_id", "left_semi")
-    return (out.dropDuplicates(["_id", "text"]) if once else out).select(*COLUMNS)
+def _kept(docs: DataFrame, verdict: DataFrame, kept: str) -> DataFrame:
+    """docs without the rows whose verdict is not kept. Texts move only where a sieve cannot clear their place."""
+    dropped = common.written(verdict.filter(~F.col(kept)).select(*PLACE))
+    return common.without(docs, dropped, list(PLACE)).select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _kept(docs, quality.judged(docs).filter("kept"))
+    docs = common.numbered(docs.select(*COLUMNS))
+    return _kept(docs, quality.judged(docs, carry=PLACE), "kept")
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts one stays."""
-    return _kept(docs, exact.groups(docs).filter("kept"), once=True)
+    docs = common.numbered(docs.select(*COLUMNS))
+    return _kept(docs, exact.groups(docs, carry=PLACE), "kept")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the smallest id stays."""
-    return _kept(docs, jaccard.clustered(docs, n=5, percent=80).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    docs = common.numbered(docs.select(*COLUMNS))
+    return _kept(docs, jaccard.clustered(docs, n=5, percent=80, place=PLACE), "first")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
