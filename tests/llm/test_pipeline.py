@@ -26,6 +26,21 @@ def test_stages_follow_each_other(docs, spark, tmp_path):
 
 
 def test_stages_of_odd_and_empty_tables(odd, none, spark):
-    for frame in (odd, none):
-        for _, stage in pipeline.STAGES:
-            stage(spark, frame, "").count()
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long), (1, long), (None, long + "  "), (2, None), (2, "short"), (3, ""), (5, long + " more"), (5, long.upper()), (5, " ".join(f"other{i}" for i in range(60)))]
+    frame = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    ruled = pipeline.rules(spark, frame, "")
+    assert found(ruled) == sorted([r for r in rows if r[1] and len(r[1]) > 9], key=str)
+    one = pipeline.copies(spark, ruled, "")
+    assert found(one) == sorted([(None, long + "  "), *rows[6:]], key=str)
+    assert found(pipeline.near_copies(spark, one, "")) == sorted([(None, long + "  "), rows[8]], key=str)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+        assert stage(spark, odd, "").count() == {"quality_rules": 0, "exact_dedup": 2, "ngram_jaccard": 4, "secret_scan": 6, "best_fit_packing": 6}[name], name
+
+
+def test_rejected_rows_go_though_another_with_their_id_stays(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    frame = spark.createDataFrame([(7, good, "en", "s", 1), (7, "too short", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.text for r in pipeline.rules(spark, frame, "").collect()] == [good]
