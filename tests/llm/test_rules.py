@@ -5,6 +5,7 @@ import time
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from waymill.llm import html_text, oracles, quality, secrets
@@ -135,6 +136,65 @@ def test_field_finds_what_patterns_miss_and_spares_numbers():
     assert [(k, text[s:e]) for s, k, e, _ in got] == [("crf", key)]
 
 
+def planted(rng, n):
+    """(text, secret or None): secrets that no pattern finds, and numbers, addresses and long words that are none."""
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k))
+    out = []
+    for i in range(n):
+        key = [hexes(28), mixed(32), mixed(24), hexes(30)][i % 4]
+        lead = ['pwd is "{}"', "credentials: {}", "Authorization: Bearer {}", "private key {}"][i // 4 % 4].format(key)
+        out.append((f"{sentence(rng, 25)} {lead} {sentence(rng, 25)}", key))
+        other = ["call +1 (017) 555-7713 now", "mail jo.27@mail7.example.com", "host 97.51.17.173 port 8080", "card 9807915762804490", "Verwaltungsgerichtsbarkeitsgesetz", "order-20240117-001", "version 3.0.1", "at 10:45 = noon"][i % 8]
+        out.append((f"{sentence(rng, 25)} {other} {sentence(rng, 25)}", None))
+    return out
+
+
+def learnt_mixed(rng):
+    """A field learnt from secrets that the patterns find, among plain text."""
+    texts = []
+    for i in range(240):
+        key = "".join(rng.choice("0123456789abcdef" if i % 2 else "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(rng.choice([24, 32, 40])))
+        lead = [f'token = "{key}"', f"password: {key}", f"api_key={key}", f"secret = '{key}'"][i % 4]
+        texts.append(f"{sentence(rng, 40)} {lead} {sentence(rng, 20)}")
+        texts.append(planted(rng, 1)[1][0])
+    texts += [t for t, key in planted(rng, 40) if key is None]
+    return secrets.fitted([x for t in texts for x in secrets.labelled(t)])
+
+
+def test_recall_and_precision_on_secrets_that_patterns_miss():
+    rng = random.Random(21)
+    field = learnt_mixed(rng)
+    hits = wrong = wanted = 0
+    for text, key in planted(rng, 200):
+        assert not secrets.matches(text)
+        got = [text[s:e] for s, k, e, _ in secrets.found(text, field) if k == "crf"]
+        wanted += key is not None
+        hits += key in got
+        wrong += sum(x != key for x in got)
+    print("recall", hits / wanted, "precision", hits / max(1, hits + wrong))
+    assert hits >= 0.9 * wanted
+    assert hits >= 0.95 * (hits + wrong)
+
+
+def test_plain_words_are_passed_over_without_loss(docs):
+    """What the bound skips is outside of secrets by full decoding too, for learnt weights and for weights at random."""
+    rng = random.Random(8)
+    fields = [learnt_mixed(rng)]
+    for seed in range(6):
+        draw = np.random.default_rng(seed)
+        weights = draw.normal(0, 1, (secrets.FEATURES, 3))
+        weights[:, 0] += 1.0 + seed
+        fields.append(secrets.Field(weights, draw.normal(0, 1, (3, 3))))
+    assert fields[0].longest > 7 and {f.longest > 0 for f in fields} == {True, False}
+    texts = [t for t, _ in planted(rng, 30)] + list(texts_of(docs).values())[:40] + ["key\u017f - x", "pa\u017fs word", "\u0130key = \" abc", "sig , ! hello", "x= \" ' word", "\u01c5abc \xb2\xb3 \u212aey abc"]
+    for field in fields:
+        full = secrets.Field(field.weights, field.steps)
+        full.plain = None
+        for text in texts:
+            assert field.spans(text) == full.spans(text), text
+
+
 def test_tokens_without_digits_can_be_secrets():
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ") for _ in range(n))

@@ -3,7 +3,8 @@
 The field tags the tokens of every text as begin, inside or outside of a secret, from their shape, the words
 around them and features of the file, and is decoded by Viterbi. Every token can begin a secret or be inside or
 outside of one. White space is outside, so a chain falls into parts between white space, and decoding all parts is
-decoding the whole text. Equal parts after equal words are decoded once.
+decoding the whole text. Equal parts after equal words are decoded once. Parts of plain words are passed over where
+the weights leave them no other best tags than outside: a bound over all features that they can have shows it.
 
 The weights are learnt from rows that the patterns label: LABELLED documents with a match and as many without,
 those with the least hashes of their ids, with all their chains; equal chains count as often as they occur. Each
@@ -21,6 +22,7 @@ import json
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +47,21 @@ SHORT = 64
 SEEN = 40
 
 GAP = re.compile(r"(\s+)")
+PART = re.compile(r"\S+")
+SPACED = re.compile(r"\s*(\S+)\s*")
 WORD = re.compile(r"\w")
 TOKEN = re.compile(r"[\w+/-]+|[^\w\s]")
 BEFORE = re.compile(r"([\w+/-]+)(\W*)\Z")
-KEYS = re.compile("pass|pwd|secret|token|key|auth|cred|bearer|private|access|sig", re.I)
+KEY_WORDS = "pass pwd secret token key auth cred bearer private access sig".split()
+KEYS = re.compile("|".join(KEY_WORDS), re.I)
+#: Letters of plain words, and signs that may stand with them. None of them counts for the tokens around.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SIGNS = ".,;!?*$%&|"
+LONGEST = 40
 LENGTHS = (8, 12, 16, 18, 20, 24, 32, 40, 41, 64)
 FEATURES = 10 + 12 + 5 + 9 + 4 + 4
 OUT, BEGIN, IN = range(3)
+ONE = [(True, True, False)]
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -76,23 +86,39 @@ def file_features(text: str) -> list[int]:
     return [0 if 200 * signs > n else 1, 2 if n < 2000 else 3]
 
 
-def token_features(tokens: list[tuple[str, int]], i: int, before: str, text: str, end: int) -> list[int]:
-    """Columns of one token. before: up to SEEN characters before the part."""
-    word = tokens[i][0]
+@lru_cache(KNOWN)
+def word_features(word: str) -> tuple[int, ...]:
+    """Columns of a token by itself."""
     n = len(word)
     out = [sum(n >= x for x in LENGTHS) - 1] if n >= LENGTHS[0] else [40 + (n >= 4)]
-    digits, lower, upper = sum(c.isdigit() for c in word), any(c.islower() for c in word), any(c.isupper() for c in word)
-    counts = Counter(word)
-    spread = -sum(c / n * math.log2(c / n) for c in counts.values())
-    hexes = all(c in "0123456789abcdef" for c in word)
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:], strict=False))
-    shape = (
-        digits == n, hexes and lower and digits < n, upper and not lower and digits < n, upper and lower, lower and not upper and not hexes,
-        not word.isascii(), any(c in "+/" for c in word), "-" in word, "_" in word, turns >= 4, turns <= 1, n == 1,
-    )
-    out += [10 + k for k, x in enumerate(shape) if x]
-    out.append(43 if digits else 42)
-    out.append(22 + min(4, max(0, int(2 * spread) - 4)))
+    plain = word.isascii()
+    if plain and word.isalpha():
+        digits = turns = 0
+        lower, upper = word.upper() != word, word.lower() != word
+    else:
+        digits, lower, upper = sum(c.isdigit() for c in word), any(c.islower() for c in word), any(c.isupper() for c in word)
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:], strict=False))
+    spread = math.log2(n) - sum(k * math.log2(k) for k in map(word.count, set(word)) if k > 1) / n + 1e-9
+    hexes = not word.strip("0123456789abcdef")
+    if digits == n:
+        out.append(10)
+    if hexes and lower and digits < n:
+        out.append(11)
+    if upper and not lower and digits < n:
+        out.append(12)
+    if upper and lower:
+        out.append(13)
+    if lower and not upper and not hexes:
+        out.append(14)
+    if not plain:
+        out.append(15)
+    out += [c for c, x in ((16, "+" in word or "/" in word), (17, "-" in word), (18, "_" in word), (19, turns >= 4), (20, turns <= 1), (21, n == 1)) if x]
+    return (*out, 43 if digits else 42, 22 + min(4, max(0, int(2 * spread) - 4)))
+
+
+def token_features(tokens: list[tuple[str, int]], i: int, before: str, text: str, end: int) -> list[int]:
+    """Columns of one token. before: up to SEEN characters before the part."""
+    out = list(word_features(tokens[i][0]))
     left, right = tokens[i - 1][0] if i else "", tokens[i + 1][0] if i + 1 < len(tokens) else text[end : end + 1].strip()
     lead = text[tokens[0][1] : tokens[i][1]] if i and tokens[i][1] - tokens[0][1] < SEEN else text[tokens[i][1] - SEEN : tokens[i][1]] if i else ""
     lead = before + lead if len(lead) < SEEN else lead
@@ -112,6 +138,20 @@ def chain(text: str, start: int, end: int, own: list[int]) -> tuple[list, list,
     return tokens, columns, [(True, True, i > 0) for i in range(len(tokens))]
 
 
+def key_places(text: str) -> list[int]:
+    """Where KEYS match, at least the first place in each part, in order."""
+    low = text.lower()
+    if len(low) != len(text) or "\u017f" in low:  # letters whose lower case is longer, or that KEYS takes for an s
+        return [m.start() for m in KEYS.finditer(text)]
+    out = []
+    for word in KEY_WORDS:
+        at = low.find(word)
+        while at >= 0:
+            out.append(at)
+            at = low.find(word, at + len(word))
+    return sorted(out)
+
+
 def context(before: str) -> tuple[bool, str | None]:
     """All that features see of what stands before a part: whether its last word names a secret, and what follows that."""
     m = BEFORE.search(before)
@@ -144,6 +184,11 @@ def chains(text: str, known: dict | None = None, tails: dict | None = None):
     """For every part of text: (tokens with their places, columns, tags that each can have). known, tails: of earlier texts."""
     own, known = [36 + k for k in file_features(text)], {} if known is None else known
     for at, part, seen in parts(text, {} if tails is None else tails):
+        if part.isalpha():  # one token, near which is nothing but the context
+            named = seen[1] or ""
+            near = [27] * (named.strip(" \"'") in ("=", ":")) + [28] * bool(named and seen[0])
+            yield [(part, at)], [[*word_features(part), *near, 35, *own]], ONE
+            continue
         key = (part, seen, *own)
         if key not in known:
             if len(known) >= KNOWN:
@@ -161,6 +206,37 @@ class Field:
         self.weights, self.steps = weights, steps.copy()
         self.known, self.older, self.tails, self.decoded = {}, {}, {}, {}
         self.steps[OUT, IN] = -1e6
+        self.longest = self._longest()
+        run = rf"[{LETTERS}]{{1,{self.longest}}}+(?![{LETTERS}])|[{re.escape(SIGNS)}]"
+        #: All plain parts from here on, with the white space after them.
+        self.plain = re.compile(rf"(?:(?:{run})++(?!\S)\s*+)*+") if self.longest else None
+
+    def _outside(self, columns: list[int], some: list[list[int]], any_: list[int]) -> bool:
+        """Whether a token is outside in all best tags: it has columns, one of each list of some, and any of any_.
+
+        What a tag may gain over outside is at most its own score, the best step to it and the best step back.
+        """
+        own = 0.0
+        back = max(0.0, *(self.steps[[BEGIN, IN], OUT] - self.steps[OUT, OUT]))
+        best = -np.inf
+        for tag in (BEGIN, IN):
+            more = self.weights[:, tag] - self.weights[:, OUT]
+            own = more[columns].sum() + sum(max(more[c] if c is not None else 0.0 for c in x) for x in some) + np.maximum(more[any_], 0).sum()
+            best = max(best, own + self.steps[:, tag].max() - self.steps[OUT, OUT] + back)
+        return bool(best < -1e-6)
+
+    def _longest(self) -> int:
+        """Words of letters of at most this length, and SIGNS, are outside of a secret unless something near tells; 0: none."""
+        rest = [[36, 37], [38, 39]]
+        near = [27 + 5, 27 + 6, 27 + 8]  # of what stands near, only a dot or nothing
+        if not self._outside([40, 20, 21, 42, 22], rest, near):
+            return 0
+        for n in range(1, LONGEST + 1):
+            length = sum(n >= x for x in LENGTHS) - 1 if n >= LENGTHS[0] else 40 + (n >= 4)
+            shapes = [[11, 12, 13, 14, None], [15, None], [22, 23, 24, 25, 26]]
+            if not self._outside([length, 20, 42, *[21] * (n == 1)], [*shapes, *rest], near):
+                return n - 1
+        return LONGEST
 
     def scores(self, columns: list[list[int]], allowed: list[tuple]) -> np.ndarray:
         out = np.zeros((len(columns), 3))
@@ -203,10 +279,37 @@ class Field:
                 at[1] = place - start + len(word)
         return out
 
+    def _parts(self, text: str):
+        """(start, part, context) of the parts that can hold a secret: those that are not plain, and what follows them up to a word."""
+        keys, end = [], 0  # starts of parts with a word that names a secret
+        for found in key_places(text):
+            if found >= end:
+                at = found
+                while at > end and not text[at - 1].isspace():
+                    at -= 1
+                keys.append(at)
+                end = PART.match(text, found).end()
+        keys.append(len(text))
+        at = k = 0
+        while True:
+            while keys[k] < at:
+                k += 1
+            at = self.plain.match(text, at, keys[k]).end()
+            told = False
+            while True:
+                m = SPACED.match(text, at)
+                if not m:
+                    return
+                at = m.end()
+                yield m.start(1), m[1], context(text[max(0, m.start(1) - SEEN) : m.start(1)])
+                if told and WORD.search(m[1]):
+                    break
+                told = True
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         out, (signs, size) = [], file_features(text)
         own = [36 + signs, 36 + size]
-        for at, part, seen in parts(text, self.tails):
+        for at, part, seen in self._parts(text) if self.plain else parts(text, self.tails):
             key = (part, seen, signs, size)
             hit = self.known.get(key)
             if hit is None:
@@ -226,9 +329,12 @@ def labelled(text: str, known: dict | None = None, tails: dict | None = None) ->
     """(columns, allowed, tags) of the chains of a text, tagged by the patterns; those with a secret also without their neighbours."""
     found, out, lo = sorted((own, end) for _, _, end, own in matches(text)), [], 0
     for tokens, columns, allowed in chains(text, known, tails):
-        tags, open_ = [], None
         while lo < len(found) and found[lo][1] <= tokens[0][1]:
             lo += 1
+        if len(tokens) <= LEARNT and (lo == len(found) or found[lo][0] > tokens[-1][1]):
+            out.append((columns, allowed, [OUT] * len(tokens)))
+            continue
+        tags, open_ = [], None
         for word, start in tokens:
             hit = None
             for x in found[lo:] if lo < len(found) and found[lo][0] <= start else ():
@@ -327,8 +433,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int
     def make(batches):
         known, tails = {}, {}
         for batch in batches:
-            seen = Counter(json.dumps([x[0], x[2]]) for value in batch.column(1).to_pylist() for x in labelled(value or "", known, tails))
-            yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chain", "n"])
+            seen = Counter((tuple(map(tuple, x[0])), tuple(x[2])) for value in batch.column(1).to_pylist() for x in labelled(value or "", known, tails))
+            yield pa.record_batch([pa.array(list(map(json.dumps, seen)), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chain", "n"])
 
     found = sorted((r["chain"], r["n"]) for r in rows.mapInArrow(make, "chain string, n long").groupBy("chain").agg(F.sum("n").alias("n")).collect())
     examples = [(columns, [], tags) for columns, tags in (json.loads(c) for c, _ in found)]
