@@ -13,7 +13,8 @@ from .conftest import texts_of
 
 
 def test_phrases_equal_brute_force(docs, monkeypatch):
-    monkeypatch.setattr(phrases.C.gathered, "__defaults__", (20_000,))
+    monkeypatch.setattr(common, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(common, "LIST_BYTES", 0)
     rows = {k: t.encode().split() for k, t in texts_of(docs).items()}
     low = {}
     for k, w in sorted(rows.items()):
@@ -42,12 +43,35 @@ def test_least_of_neighbours():
         assert phrases._least(x, n).tolist() == [x[i : i + n].min() for i in range(len(x) - n + 1)]
 
 
-@pytest.mark.parametrize("repeats", [[3], [3, 4, 5, 30], list(range(40)), [0, 13, 26, 60, 61, 75]])
-def test_cover_holds_all_words(repeats):
-    words = {w for i in repeats for w in range(i, i + 13)}
-    chosen = phrases._cover(np.array(repeats), 13)
-    assert {w for i in chosen for w in range(i, i + 13)} == words
-    assert set(chosen) <= set(repeats)
+@pytest.mark.parametrize("seed", range(8))
+def test_automata_locate_every_run(seed):
+    rng = random.Random(seed)
+    words = [w.encode() for w in ("a b" if seed % 2 else "a b c dé e").split()]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    passages = [(rng.randrange(10), draw(rng.randrange(13, 40))) for _ in range(30)]
+    docs = []
+    for _ in range(20):
+        _, p = rng.choice(passages)
+        docs.append(draw(rng.randrange(30)) + p[rng.randrange(6) : len(p) - rng.randrange(6)] + draw(rng.randrange(30)))
+    docs += [[], [b"a"] * 200, list(passages[0][1])]
+    numbers, size = [rng.randrange(12) for _ in docs], 13
+    gone = [np.zeros(len(d), bool) for d in docs]
+    phrases.locate(passages, docs, numbers, gone, size)
+    for number, doc, flags in zip(numbers, docs, gone, strict=True):
+        held = {tuple(p[i : i + size]) for low, p in passages if low < number for i in range(len(p) - size + 1)}
+        want = [False] * len(doc)
+        for i in range(len(doc) - size + 1):
+            if tuple(doc[i : i + size]) in held:
+                want[i : i + size] = [True] * size
+        assert flags.tolist() == want
+
+
+def test_lists_of_windows_come_back():
+    rng = np.random.default_rng(1)
+    rows = phrases._windows(rng.integers(0, 1 << 63, 9), rng.integers(0, 1 << 32, 9), rng.integers(-5, 5, 9), np.sort(rng.integers(0, 99, 9)))
+    many = rng.random(9) < 0.5
+    back, flags = phrases._window_list(phrases._packed(rows, many))
+    assert back.tolist() == rows.tolist() and flags.tolist() == many.tolist()
 
 
 def jaccard_truth(rows, n, percent):

@@ -3,17 +3,20 @@
 1. Anchors. Every window of WORDS words has an anchor: the run of ANCHOR words in it with the least hash. Equal
    windows have equal anchors, and neighbouring windows mostly share theirs, so anchors are few. Shards find the
    anchors that two documents or more hold.
-2. Passages. Windows with such an anchor are confirmed: shards compare the hash (128 bits) of the whole window
-   and give the smallest id that holds it.
-3. Automata. Each block compiles one Aho-Corasick automaton of the passages that repeat in it, and streams all
-   its documents through it: every occurrence is located, and the words under it are removed where a smaller
-   id holds the passage too.
+2. Passages. Windows with such an anchor are confirmed: shards compare the hash (96 bits) of the whole window. For a
+   window that recurs, the block with the smallest id that holds it learns which blocks want it, and spells it:
+   windows in a row are one passage, which goes as text to every block that holds some of it under a larger id.
+3. Automata. The automata are sharded by block: each compiles the passages that were sent to one block, without
+   knowing where they are in it, and all documents of the block stream through. The automaton finds runs of SEED
+   words of a passage, of which every window holds one; from there the texts are compared word by word, both ways.
+   Where WORDS words or more agree, and the passage comes from a smaller id, the words go.
 
 A block is a bounded run of documents, and a key travels once per block that holds it, so a passage in a third
 of all documents costs no task more than its share. Windows are judged on the input.
 
-Null or empty text has no words. A null id counts as smaller than all; rows with equal ids are one document. An
-empty table gives an empty result. Other columns are left behind, whatever their names.
+Null or empty text has no words. A null id counts as smaller than all; rows with equal ids are one document. Texts
+may have any length: a very long one is a block of its own. An empty table gives an empty result. Other columns are
+left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ BLOCK = "block long, ids array<long>, texts binary, anchors array<binary>"
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary()), ("anchors", pa.list_(pa.binary()))])
 ANSWER = "block long, shard int, data binary"
 _ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
-_WINDOW = np.dtype([("a", np.uint64), ("b", np.uint64), ("doc", np.int64)])
+_WINDOW = np.dtype([("a", np.uint64), ("b", np.uint32), ("doc", np.int64), ("at", np.uint32)])
 
 
 class Hashed:
@@ -94,8 +97,8 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def window_hash(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for every window."""
-    return runs_hash(words, size, 0xD6E8FEB86659FD93), runs_hash(mixed(words ^ _MIX), size, 0xA0761D6478BD642F)
+    """96 bits for every window."""
+    return runs_hash(words, size, 0xD6E8FEB86659FD93), runs_hash(mixed(words ^ _MIX), size, 0xA0761D6478BD642F).astype(np.uint32)
 
 
 def _shards(keys: np.ndarray, n: int) -> np.ndarray:
@@ -153,8 +156,10 @@ def _by_key(keys: np.ndarray, low: np.ndarray, many: np.ndarray | None = None):
 def blocks(docs: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
     """Blocks of documents as words joined by one blank, with the anchors of each shard."""
 
+    limit = C.block_bytes(n)
+
     def make(batches):
-        for block, ids, texts in C.gathered(batches):
+        for block, ids, texts in C.gathered(batches, limit):
             words = [t.split() for t in texts]
             keys, low, many = _block_anchors(ids, words, size, anchor)
             lists = [C.pack(keys[p].tobytes() + low[p].tobytes() + np.packbits(many[p]).tobytes()) if len(p) else None for p in _each_shard(_shards(keys, n), n)]
@@ -204,75 +209,126 @@ def _candidates(n: int, size: int, anchor: int):
         if not len(use):
             return _ANSWER.empty_table()
         x, y = window_hash(words.hashes, size)
-        rows, many = _first(_windows(x[words.at[use]], y[words.at[use]], _doc_ids(ids)[words.doc[use]]))
-        lists = _each_shard(_shards(rows["a"], n), n)
+        at = words.at[use]
+        rows, many = _first(_windows(x[at], y[at], _doc_ids(ids)[words.doc[use]], at))
+        order = np.argsort(rows["at"])
+        rows, many = rows[order], many[order]
         name = left.column("block")[0].as_py()
+        lists = _each_shard(_shards(rows["a"], n), n)
         return pa.Table.from_batches([C.rows(_ANSWER, [(name, i, _packed(rows[p], many[p])) for i, p in enumerate(lists) if len(p)])])
 
     return block
 
 
-def _windows(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _windows(a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(a), _WINDOW)
-    out["a"], out["b"], out["doc"] = a, b, doc
+    out["a"], out["b"], out["doc"], out["at"] = a, b, doc, at
     return out
 
 
+def _new(rows: np.ndarray) -> np.ndarray:
+    """Of sorted rows, which start another window."""
+    return np.concatenate([[True], (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])]) if len(rows) else np.zeros(0, bool)
+
+
 def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows with equal windows, the one with the smallest id, in order of the windows; and whether they have more ids."""
-    rows = rows[np.lexsort((rows["doc"], rows["b"], rows["a"]))]
-    first = np.flatnonzero(np.concatenate([[True], (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])])) if len(rows) else np.zeros(0, np.int64)
+    """Of rows with equal windows, the first with the smallest id; and whether they have more ids."""
+    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["b"], rows["a"]))]
+    first = np.flatnonzero(_new(rows))
     last = np.concatenate([first[1:], [len(rows)]]).astype(np.int64) - 1 if len(first) else first
     return rows[first], rows["doc"][first] != rows["doc"][last]
 
 
 def _packed(rows: np.ndarray, many: np.ndarray) -> bytes:
-    return C.pack(rows["a"].tobytes() + rows["b"].tobytes() + rows["doc"].tobytes() + np.packbits(many).tobytes())
+    """rows in order of their places, which are kept as steps."""
+    steps = np.diff(rows["at"], prepend=np.uint32(0)).astype(np.uint32)
+    return C.pack(rows["a"].tobytes() + rows["doc"].tobytes() + rows["b"].tobytes() + steps.tobytes() + np.packbits(many).tobytes())
 
 
 def _window_list(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = C.unpack(data)
     n = len(raw) * 8 // 193
     out = np.empty(n, _WINDOW)
-    out["a"], out["b"], out["doc"] = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n)
+    out["a"], out["doc"] = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n)
+    out["b"], out["at"] = np.frombuffer(raw, np.uint32, n, 16 * n), np.cumsum(np.frombuffer(raw, np.uint32, n, 20 * n))
     return out, np.unpackbits(np.frombuffer(raw, np.uint8, offset=24 * n), count=n).astype(bool)
 
 
 def _confirm(key, batches):
-    """Of one shard: the smallest id for every window, to each block where a larger id has the window."""
+    """Of one shard: to the block with the smallest id of each window that recurs, the window's place there and every block that holds it under a larger id."""
     blocks, lists = [], []
     for batch in batches:
         blocks += batch.column("block").to_pylist()
         lists += [_window_list(x) for x in batch.column("data").to_pylist()]
     every, many = (np.concatenate([x[i] for x in lists]) for i in range(2))
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x, _ in lists])
-    order = np.lexsort((every["doc"], every["b"], every["a"]))
-    every, many, owner = every[order], many[order], owner[order]
-    new = np.concatenate([[True], (every["a"][1:] != every["a"][:-1]) | (every["b"][1:] != every["b"][:-1])])
-    lowest = every["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    wanted = many | (lowest < every["doc"])
-    every["doc"] = lowest
-    every, many, owner = every[wanted], many[wanted], owner[wanted]
-    for i, p in enumerate(_each_shard(owner, len(lists))):
-        if len(p):
-            yield C.rows(_ANSWER, [(blocks[i], key[0].as_py(), _packed(every[p], many[p]))])
-
-
-def _cover(repeats: np.ndarray, size: int) -> np.ndarray:
-    """Starts of repeated windows that together cover the words of all of them."""
-    edge = np.flatnonzero(np.diff(repeats) > size) if len(repeats) else repeats
-    out = []
-    for run in np.split(repeats, edge + 1):
-        at = 0
-        while at < len(run):
-            out.append(run[at])
-            nxt = int(np.searchsorted(run, run[at] + size, "right")) - 1
-            at = nxt if nxt > at else at + 1
-    return np.unique(np.array(out, np.int64))
-
-
-def _rewrite(size: int, anchor: int, finish, arrow: pa.Schema):
-    """Of a block: the automaton of its repeated passages, every occurrence in its documents, and what is left."""
+    block = np.repeat(np.array(blocks, np.int64), [len(x) for x, _ in lists])
+    del lists
+    order = np.lexsort((block, every["doc"], every["b"], every["a"]))
+    every, many, block = every[order], many[order], block[order]
+    new = _new(every)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    wanted = np.flatnonzero(many | (every["doc"][first] < every["doc"]))
+    owner, at, target = block[first[wanted]], every["at"][first[wanted]], block[wanted]
+    del every, many, block
+    order = np.lexsort((at, target, owner))
+    owner, at, target = owner[order], at[order], target[order]
+    for begin, end in _ranges(owner):
+        targets, many = np.unique(target[begin:end], return_counts=True)
+        data = np.array([len(targets)], np.int64).tobytes() + targets.tobytes() + many.astype(np.uint32).tobytes() + at[begin:end].tobytes()
+        yield C.rows(_ANSWER, [(int(owner[begin]), key[0].as_py(), C.pack(data))])
+
+
+def _ranges(x: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the runs of equal values."""
+    if not len(x):
+        return []
+    edges = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _wanted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The block that wants each place, and the place."""
+    raw = C.unpack(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    targets, many = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n)
+    return np.repeat(targets, many), np.frombuffer(raw, np.uint32, offset=8 + 12 * n)
+
+
+def _spell(size: int):
+    """Of a block: the passages of it that other blocks (or larger ids in it) hold, for each of these."""
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _ANSWER.empty_table()
+        ids = left.column("ids")[0].as_py()
+        docs = _texts(ids, left.column("texts")[0].as_py())
+        begin, numbers = C.starts(np.array([len(w) for w in docs], np.int64)), _doc_ids(ids)
+        target, at = (np.concatenate(x) for x in zip(*(_wanted(x.as_py()) for x in right.column("data")), strict=True))
+        order = np.lexsort((at, target))
+        target, at = target[order], at[order].astype(np.int64)
+        name, out = left.column("block")[0].as_py(), []
+        for low, high in _ranges(target):
+            own = at[low:high]
+            # Windows that overlap are one passage; they lie in one text, as each of them does.
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(own) >= size) + 1, [len(own)]])
+            first, last = own[cut[:-1]], own[cut[1:] - 1] + size
+            where = np.searchsorted(begin, first, "right") - 1
+            texts = [b" ".join(docs[d][i:j]) for d, i, j in zip(where.tolist(), (first - begin[where]).tolist(), (last - begin[where]).tolist(), strict=True)]
+            out.append((int(target[low]), name & 0x7FFFFFFF, C.pack(np.array([len(texts)], np.int64).tobytes() + numbers[where].tobytes() + b"\n".join(texts))))
+        return pa.Table.from_batches([C.rows(_ANSWER, out)])
+
+    return block
+
+
+def _passages(data: bytes) -> list[tuple[int, list[bytes]]]:
+    """(id that the passage comes from, words) of every passage of a list."""
+    raw = C.unpack(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return list(zip(np.frombuffer(raw, np.int64, n, 8).tolist(), [t.split(b" ") for t in raw[8 + 8 * n :].split(b"\n")], strict=True))
+
+
+def _rewrite(size: int, finish, arrow: pa.Schema):
+    """Of a block: the automaton of the passages that were sent to it, every occurrence in its documents, and what is left."""
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -281,66 +337,85 @@ def _rewrite(size: int, anchor: int, finish, arrow: pa.Schema):
         docs = _texts(ids, left.column("texts")[0].as_py())
         gone = [np.zeros(len(w), bool) for w in docs]
         if right.num_rows:
-            known, _ = _first(np.concatenate([_window_list(x.as_py())[0] for x in right.column("data")]))
-            passages = _passages(known, docs, _doc_ids(ids), size)
-            if passages:
-                _locate(passages, docs, _doc_ids(ids).tolist(), gone, size)
+            passages = [p for x in right.column("data") for p in _passages(x.as_py())]
+            locate(passages, docs, _doc_ids(ids).tolist(), gone, size)
         out = [(i, *finish(words, flags)) for i, words, flags in zip(ids, docs, gone, strict=True)]
         return pa.Table.from_batches([C.rows(arrow, out)])
 
     return block
 
 
-def _passages(known: np.ndarray, docs: list[list[bytes]], numbers: np.ndarray, size: int) -> dict[tuple[bytes, ...], int]:
-    """For each text, windows that cover all its words that a smaller id holds too, with that id."""
-    words = _Words(docs, size)
-    x, y = (v[words.at] for v in window_hash(words.hashes, size))
-    first, second, low = (np.ascontiguousarray(known[c]) for c in ("a", "b", "doc"))
-    own = numbers[words.doc]
-    use = np.flatnonzero(_among(x, first))
-    lowest, at = own[use].copy(), np.searchsorted(first, x[use])
-    while len(at):  # windows that are equal in the first half of the hash follow each other
-        here = np.minimum(at, len(first) - 1)
-        hit = (first[here] == x[use]) & (second[here] == y[use])
-        lowest[hit] = low[here][hit]
-        at = at + 1
-        if not ((at < len(first)) & (first[np.minimum(at, len(first) - 1)] == x[use])).any():
-            break
-    less = lowest < own[use]
-    places, holder, doc = words.at[use][less], lowest[less], words.doc[use][less]
-    out = {}
-    for i in np.unique(doc).tolist():
-        rows = slice(*np.searchsorted(doc, [i, i + 1]))
-        begin = int(words.begin[i])
-        lowest_at = dict(zip(places[rows].tolist(), holder[rows].tolist(), strict=True))
-        for k in _cover(places[rows], size).tolist():
-            out[tuple(docs[i][k - begin : k - begin + size])] = lowest_at[k]
-    return out
-
-
 def _spelt(words) -> str:
-    """Words between blanks, so that a passage is only found at word ends."""
+    """Words between blanks, so that a seed is only found at word ends."""
     return f" {b' '.join(words).decode('utf-8', 'surrogateescape')} "
 
 
-def _locate(passages: dict[tuple[bytes, ...], int], docs: list[list[bytes]], numbers: list[int], gone: list[np.ndarray], size: int) -> None:
-    """Flags the words under every passage that a smaller id holds: one automaton, through which all texts stream.
+def seeded(passages: list[tuple[int, list[bytes]]], size: int) -> ahocorasick.Automaton | None:
+    """The automaton of the seeds of passages: every run of size words holds a whole seed. Each tells its length and (passage, place)s.
 
     Its letters are characters: with words as letters the root would have as many branches as there are words.
     """
+    seed, found = (size + 1) // 2, {}
+    for k, (_, words) in enumerate(passages):
+        for at in range(0, len(words) - seed + 1, seed):
+            found.setdefault(_spelt(words[at : at + seed]), []).append((k, at))
+    if not found:
+        return None
     automaton = ahocorasick.Automaton()
-    for phrase, low in passages.items():
-        spelt = _spelt(phrase)
-        automaton.add_word(spelt, (low, len(spelt)))
+    for spelt, places in found.items():
+        automaton.add_word(spelt, (len(spelt), places))
     automaton.make_automaton()
+    return automaton
+
+
+def _agree(a: list[bytes], i: int, b: list[bytes], j: int, most: int) -> int:
+    """How many words from a[i] and b[j] on are equal, at most so many."""
+    n = 0
+    while n < most:
+        step = min(64, most - n)
+        if a[i + n : i + n + step] != b[j + n : j + n + step]:
+            while a[i + n] == b[j + n]:
+                n += 1
+            return n
+        n += step
+    return n
+
+
+def _agree_back(a: list[bytes], i: int, b: list[bytes], j: int) -> int:
+    """How many words before a[i] and b[j] are equal."""
+    n, most = 0, min(i, j)
+    while n < most and a[i - n - 1] == b[j - n - 1]:
+        n += 1
+    return n
+
+
+def locate(passages: list[tuple[int, list[bytes]]], docs: list[list[bytes]], numbers: list[int], gone: list[np.ndarray], size: int) -> None:
+    """Flags the words of docs under every run of size words or more that a passage of a smaller id holds too."""
+    automaton, seed = seeded(passages, size), (size + 1) // 2
+    if automaton is None:
+        return
     for doc, words, flags in zip(numbers, docs, gone, strict=True):
-        if len(words) >= size:
-            text = _spelt(words)
-            hits = [end - n + 1 for end, (low, n) in automaton.iter(text) if low < doc]
-            if hits:
-                blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-                for i in np.searchsorted(blanks, hits).tolist():
-                    flags[i : i + size] = True
+        if len(words) < size:
+            continue
+        text, places, done = _spelt(words), None, {}
+        for end, (length, known) in automaton.iter(text):
+            if places is None:  # the word that starts after each blank
+                places = {}
+                at = 0
+                for i, w in enumerate(text[1:-1].split(" ")):
+                    places[at] = i
+                    at += len(w) + 1
+            i = places[end - length + 1]
+            for k, j in known:
+                low, own = passages[k]
+                # Along a match that is known already there is nothing new.
+                if low >= doc or done.get((k, i - j), -1) > i:
+                    continue
+                right = i + seed + _agree(words, i + seed, own, j + seed, min(len(words) - i, len(own) - j) - seed)
+                done[k, i - j] = right
+                left = i - _agree_back(words, i, own, j)
+                if right - left >= size:
+                    flags[left:right] = True
 
 
 def _grouped(lists: DataFrame, f) -> DataFrame:
@@ -355,10 +430,11 @@ def _passed(docs: DataFrame, finish, schema: list[tuple], id_col: str, text: str
     anchors = _grouped(lists, _repeat_anchors)
     texts = table.select("block", "ids", "texts")
     windows = texts.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_candidates(n, size, anchor), ANSWER)
-    confirmed = _grouped(windows, _confirm)
+    wanted = _grouped(windows, _confirm)
+    passages = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_spell(size), ANSWER)
     arrow = pa.schema([("doc_id", pa.int64()), *schema])
     names = {"int64": "long", "string": "string"}
-    return texts.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(_rewrite(size, anchor, finish, arrow), ", ".join(f"{f.name} {names[str(f.type)]}" for f in arrow))
+    return texts.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_rewrite(size, finish, arrow), ", ".join(f"{f.name} {names[str(f.type)]}" for f in arrow))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WORDS, anchor: int = ANCHOR) -> DataFrame:
