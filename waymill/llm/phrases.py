@@ -400,11 +400,8 @@ def locate(passages: list[tuple[int, list[bytes]]], docs: list[list[bytes]], num
         text, places, done = _spelt(words), None, {}
         for end, (length, known) in automaton.iter(text):
             if places is None:  # the word that starts after each blank
-                places = {}
-                at = 0
-                for i, w in enumerate(text[1:-1].split(" ")):
-                    places[at] = i
-                    at += len(w) + 1
+                long = np.fromiter(map(len, text[1:-1].split(" ")), np.int64, len(words))
+                places = dict(zip((C.starts(long + 1)[:-1]).tolist(), range(len(words)), strict=True))
             i = places[end - length + 1]
             for k, j in known:
                 low, own = passages[k]
