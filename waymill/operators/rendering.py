@@ -1,9 +1,11 @@
 """Tracks drawn on a supplied map image.
 
 Projection and the pixels of thin lines are DataFrame work: each step becomes the small boxes of pixels along it,
-coverage is the distance to the line, and a pixel keeps its greatest coverage. Wide reveals are cut into tiles:
-each tile spreads the exact distances of the pixels beside its lines over all others. The image itself, of bounded size,
-is composed on the driver.
+coverage is the distance to the line, and a pixel keeps its greatest coverage. Wide reveals: each partition walks its
+steps once and keeps, on arrays, the exact way to the nearest line for the pixels beside them; what leaves it has
+at most the size of the image, by tile. Each tile takes the nearest of all partitions and spreads it over the other
+pixels. So work grows with the length of the steps that are in view and with the image, not with the reach, and what is
+exchanged does not grow with the steps. The image itself, of bounded size, is composed on the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ FEATHER_SHARE, LEAST_FEATHER = 0.25, 1.0
 SKEW = 0.02
 
 TILE = 512
-#: Pixels beside a line that get their exact distance.
+#: Pixels beside a line that get their exact distance, and pixels that are looked at together.
 BAND = 1.5
+AT_ONCE = 1 << 20
 #: Pixels along a step that one box covers.
 CHUNK = 16
 
@@ -102,13 +105,12 @@ def stroke_shape(width: float) -> tuple[float, float]:
     return max(width / 2 - 0.5, 0.0), 1.0
 
 
-def _cells(lines: DataFrame, width: int, height: int, reach: float, margin: int = 0) -> DataFrame:
+def _cells(lines: DataFrame, width: int, height: int, reach: float) -> DataFrame:
     """(x, y, ox, oy): pixels within about reach of a step, and the way from their centre to its nearest point.
 
-    A step is walked in pieces of CHUNK pixels, so its boxes grow with its length and not with its square. margin:
-    pixels beyond the image that count too.
+    A step is walked in pieces of CHUNK pixels, so its boxes grow with its length and not with its square.
     """
-    far = reach + margin
+    far = reach
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     near = lines.filter((F.greatest("x0", "x1") >= -far) & (F.least("x0", "x1") <= width + far) & (F.greatest("y0", "y1") >= -far) & (F.least("y0", "y1") <= height + far))
     n = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / CHUNK)).cast("int")
@@ -117,8 +119,8 @@ def _cells(lines: DataFrame, width: int, height: int, reach: float, margin: int
     sides = {}
     for axis, size in (("x", width), ("y", height)):
         a, b = end(axis, 0), end(axis, 1)
-        sides[f"_{axis}a"] = F.greatest(F.lit(-margin), F.floor(F.least(a, b) - reach - 0.5).cast("int"))
-        sides[f"_{axis}b"] = F.least(F.lit(size - 1 + margin), F.ceil(F.greatest(a, b) + reach - 0.5).cast("int"))
+        sides[f"_{axis}a"] = F.greatest(F.lit(0), F.floor(F.least(a, b) - reach - 0.5).cast("int"))
+        sides[f"_{axis}b"] = F.least(F.lit(size - 1), F.ceil(F.greatest(a, b) + reach - 0.5).cast("int"))
     boxed = cut.withColumns(sides).filter("_xa <= _xb and _ya <= _yb")
     cells = boxed.withColumn("y", F.explode(F.sequence("_ya", "_yb"))).withColumn("x", F.explode(F.sequence("_xa", "_xb")))
     t = F.when(F.col("_l") == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") + 0.5 - F.col("x0")) * dx + (F.col("y") + 0.5 - F.col("y0")) * dy) / F.col("_l"))))
@@ -156,31 +158,109 @@ def _spread(ox: np.ndarray, oy: np.ndarray, reach: int) -> tuple[np.ndarray, np.
     return ox, oy
 
 
-def revealed(lines: DataFrame, width: int, height: int, radius: float, feather: float) -> DataFrame:
-    """The same for a wide reach, with work that grows with the image and not with the points.
+def _beside(x0, y0, x1, y1, width: int, height: int, rim: int):
+    """(x, y, ox, oy) of the pixels within BAND of steps: along the longer axis, six pixels across for each."""
+    steep = np.abs(y1 - y0) > np.abs(x1 - x0)
+    u0, v0, u1, v1 = (np.where(steep, a, b) for a, b in ((y0, x0), (x0, y0), (y1, x1), (x1, y1)))
+    last = np.where(steep, height, width) - 1 + rim
+    low = np.maximum(-rim, np.floor(np.minimum(u0, u1) - BAND - 0.5)).astype(np.int64)
+    many = np.maximum(0, np.minimum(last, np.ceil(np.maximum(u0, u1) + BAND - 0.5)).astype(np.int64) - low + 1)
+    ends = np.cumsum(many)
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+        at = np.arange(begin, min(begin + AT_ONCE, int(ends[-1])))
+        k = np.searchsorted(ends, at, "right")
+        u = (low[k] + at - (ends[k] - many[k]))[:, None]
+        a, b, du, dv = u0[k][:, None], v0[k][:, None], (u1 - u0)[k][:, None], (v1 - v0)[k][:, None]
+        along_ = np.clip(np.divide(u + 0.5 - a, du, out=np.zeros(u.shape), where=du != 0), 0, 1)
+        v = np.floor(b + along_ * dv - 0.5).astype(np.int64) + np.arange(-2, 4)
+        square = du * du + dv * dv
+        t = np.clip(np.divide((u + 0.5 - a) * du + (v + 0.5 - b) * dv, square, out=np.zeros(v.shape), where=square != 0), 0, 1)
+        ou, ov = a + t * du - u - 0.5, b + t * dv - v - 0.5
+        flip, u = steep[k][:, None], np.broadcast_to(u, v.shape)
+        x, y = np.where(flip, v, u), np.where(flip, u, v)
+        use = (ou * ou + ov * ov <= BAND * BAND) & (x >= -rim) & (x < width + rim) & (y >= -rim) & (y < height + rim)
+        yield x[use], y[use], np.where(flip, ov, ou)[use], np.where(flip, ou, ov)[use]
+
+
+class _Nearest:
+    """The way to the nearest line of each pixel of an image of side x side tiles; tiles are made when they are needed."""
+
+    def __init__(self):
+        self.tiles: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def add(self, x: np.ndarray, y: np.ndarray, ox: np.ndarray, oy: np.ndarray) -> None:
+        tx, ty = x // TILE, y // TILE
+        wide = int(tx.max() - tx.min()) + 1
+        tile = (ty - ty.min()) * wide + tx - tx.min()
+        order = np.argsort(tile.astype(np.uint16) if tile.max() < 1 << 16 else tile, kind="stable")
+        edges = np.flatnonzero(np.diff(tile[order])) + 1
+        for rows in np.split(order, edges):
+            key = int(tx[rows[0]]), int(ty[rows[0]])
+            if key not in self.tiles:
+                self.tiles[key] = np.full(TILE * TILE, np.inf, np.float32), np.zeros(TILE * TILE, np.float32), np.zeros(TILE * TILE, np.float32)
+            best, best_x, best_y = self.tiles[key]
+            at = (y[rows] % TILE) * TILE + x[rows] % TILE
+            far = (ox[rows] ** 2 + oy[rows] ** 2).astype(np.float32)
+            np.minimum.at(best, at, far)
+            won = far == best[at]
+            best_x[at[won]], best_y[at[won]] = ox[rows][won], oy[rows][won]
+
+    def rows(self):
+        """(x, y, ox, oy) of all pixels that have a way, tile by tile."""
+        for (tx, ty), (best, ox, oy) in sorted(self.tiles.items()):
+            at = np.flatnonzero(np.isfinite(best))
+            yield at % TILE + tx * TILE, at // TILE + ty * TILE, ox[at], oy[at]
+
+
+_SEEDS = "tx int, ty int, x binary, y binary, ox binary, oy binary"
+
+
+def _seeds(width: int, height: int, rim: int):
+    """Of a partition of steps: the pixels beside them, for each tile that they can reach."""
+
+    def walk(batches):
+        near = _Nearest()
+        for batch in batches:
+            for found in _beside(*(batch.column(i).to_numpy() for i in range(4)), width, height, rim):
+                if len(found[0]):
+                    near.add(*found)
+        for x, y, ox, oy in near.rows():
+            out = []
+            for ty in range(max(0, (int(y.min()) - rim) // TILE), min((height - 1) // TILE, (int(y.max()) + rim) // TILE) + 1):
+                for tx in range(max(0, (int(x.min()) - rim) // TILE), min((width - 1) // TILE, (int(x.max()) + rim) // TILE) + 1):
+                    use = (x >= tx * TILE - rim) & (x < (tx + 1) * TILE + rim) & (y >= ty * TILE - rim) & (y < (ty + 1) * TILE + rim)
+                    if use.any():
+                        out.append((tx, ty, *(a[use].astype(kind).tobytes() for a, kind in ((x, np.int32), (y, np.int32), (ox, np.float32), (oy, np.float32)))))
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=["tx", "ty", "x", "y", "ox", "oy"])
+
+    return walk
 
-    Pixels beside a line get their exact way to it; each tile, with a rim as wide as the reach, spreads those.
-    """
+
+def revealed(lines: DataFrame, width: int, height: int, radius: float, feather: float) -> DataFrame:
+    """The same for a wide reach. Each tile, with a rim as wide as the reach, spreads the ways of the pixels beside lines."""
     reach, rim = float(radius), int(np.ceil(radius)) + 1
-    cells = _cells(lines, width, height, BAND, rim).filter(f"ox * ox + oy * oy <= {BAND * BAND}")
-    seeds = cells.groupBy("x", "y").agg(F.min_by(F.struct("ox", "oy"), F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy")).alias("o")).select("x", "y", F.col("o.ox").cast("float").alias("ox"), F.col("o.oy").cast("float").alias("oy"))
-    tiles = lambda c, size: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - rim) / TILE).cast("int")), F.least(F.lit((size - 1) // TILE), F.floor((F.col(c) + rim) / TILE).cast("int")))
-    dealt = seeds.withColumn("ty", F.explode(tiles("y", height))).withColumn("tx", F.explode(tiles("x", width)))
+    seeds = lines.select("x0", "y0", "x1", "y1").dropna().mapInArrow(_seeds(width, height, rim), _SEEDS)
 
-    def measure(key, own: pd.DataFrame) -> pd.DataFrame:
-        left, top = int(key[0]) * TILE - rim, int(key[1]) * TILE - rim
+    def measure(key: tuple, own: pa.Table) -> pa.Table:
+        left, top = key[0].as_py() * TILE - rim, key[1].as_py() * TILE - rim
         side = TILE + 2 * rim
         ox, oy = np.full((side, side), 1e9, np.float32), np.full((side, side), 1e9, np.float32)
-        r, c = own["y"].to_numpy() - top, own["x"].to_numpy() - left
-        use = (r >= 0) & (c >= 0) & (r < side) & (c < side)
-        ox[r[use], c[use]], oy[r[use], c[use]] = own["ox"].to_numpy()[use], own["oy"].to_numpy()[use]
+        best = np.full((side, side), np.inf, np.float32)
+        for row in zip(*(own.column(c).to_pylist() for c in ("x", "y", "ox", "oy")), strict=True):
+            x, y, a, b = (np.frombuffer(v, kind) for v, kind in zip(row, (np.int32, np.int32, np.float32, np.float32), strict=True))
+            r, c, far = y - top, x - left, a * a + b * b
+            won = far < best[r, c]
+            r, c = r[won], c[won]
+            ox[r, c], oy[r, c], best[r, c] = a[won], b[won], far[won]
         ox, oy = _spread(ox, oy, rim)
         inner = (slice(rim, rim + min(TILE, height - top - rim)), slice(rim, rim + min(TILE, width - left - rim)))
         share = np.clip((reach - np.hypot(ox[inner], oy[inner])) / feather, 0, 1)
         r, c = np.nonzero(share > 0)
-        return pd.DataFrame({"x": (c + left + rim).astype(np.int32), "y": (r + top + rim).astype(np.int32), "coverage": share[r, c].astype(float)})
+        return pa.table({"x": (c + left + rim).astype(np.int32), "y": (r + top + rim).astype(np.int32), "coverage": share[r, c].astype(float)})
 
-    return dealt.groupBy("tx", "ty").applyInPandas(measure, "x int, y int, coverage double")
+    return seeds.groupBy("tx", "ty").applyInArrow(measure, "x int, y int, coverage double")
 
 
 def mask(cells: DataFrame, width: int, height: int) -> np.ndarray:
