@@ -1,4 +1,6 @@
+import io
 import json
+import sys
 import zipfile
 from datetime import datetime, timedelta
 
@@ -134,7 +136,7 @@ def test_commands(spark, tmp_path, capfdbinary):
     source = str(tmp_path / "a.gpx")
     assert cli.main(["info", source, "--json"], spark) == 0
     found = json.loads(capfdbinary.readouterr().out)
-    assert (found["format"], found["tracks"], found["segments"], found["points"], found["name"]) == ("gpx", 2, 3, 3, "Ride")
+    assert (found["source_format"], found["tracks"], found["segments"], found["points"], found["name"]) == ("gpx", 2, 3, 3, "Ride")
     assert cli.main(["convert", source, "-o", str(tmp_path / "b.geojson")], spark) == 0
     assert json.loads((tmp_path / "b.geojson").read_text())["type"] == "FeatureCollection"
     assert cli.main(["clean", source, "-o", str(tmp_path / "c.csv"), "--redact-around", "47.6,-122.3,100m"], spark) == 0
@@ -145,6 +147,88 @@ def test_commands(spark, tmp_path, capfdbinary):
     assert cli.main(["view", source, "--columns", "20", "--rows", "4"], spark) == 0
 
 
+def test_info_and_listing_are_tables(spark, tmp_path, capfdbinary):
+    (tmp_path / "a.csv").write_text("lat,lon,ele,time\n47,-122,5,2026-07-11T11:30:00Z\n47.001,-122.002,25,2026-07-11T11:31:00Z\n")
+    assert cli.main(["info", str(tmp_path / "a.csv")], spark) == 0
+    shown = capfdbinary.readouterr().out.decode().splitlines()
+    assert [x[2:14].strip() for x in shown] == ["format", "tracks", "segments", "points", "distance", "duration", "avg speed", "elevation", "time", "bounds", "bbox"]
+    assert shown[7] == "  elevation   +20 m / -0 m  (5\u201325 m)"
+    assert shown[-1] == "  bbox        -122.002000,47.000000,-122.000000,47.001000"
+    assert shown[-2] == "  bounds      47.0000, -122.0020 \u2192 47.0010, -122.0000"
+    table = cli.listing([{"name": "Walk", "logs": 12, "with_gps": 7}, {"name": "Swim", "logs": 3, "with_gps": 0}], {"total_logs": 15, "total_with_gps": 7, "days_of_recording": 5})
+    assert table == "activity type  logs  with GPS\nWalk             12         7\nSwim              3         0\n\n15 logs, 7 with GPS, 5 days of recording\n"
+
+
+class Piped:
+    def __init__(self, data, terminal=False):
+        self.buffer, self.terminal = io.BytesIO(data), terminal
+
+    def isatty(self):
+        return self.terminal
+
+
+def test_inputs_of_a_drawing(tmp_path, monkeypatch):
+    image, trace = png.SIGNATURE + b"...", b"<gpx/>"
+    (tmp_path / "m.png").write_bytes(image)
+    (tmp_path / "t.gpx").write_bytes(trace)
+    m, t = str(tmp_path / "m.png"), str(tmp_path / "t.gpx")
+
+    def given(piped, *names, terminal=False):
+        monkeypatch.setattr(sys, "stdin", Piped(piped, terminal))
+        return cli.drawing_inputs(*names)
+
+    assert given(b"", t, m) == (trace, t, image)
+    assert given(trace, "-", m) == given(trace, None, m) == (trace, None, image)
+    assert given(image, t, "-") == given(image, t, None) == (trace, t, image)
+    for piped, names in ((trace, ("-", "-")), (image, (None, m)), (image, (None, None)), (trace, (t, None)), (trace, (None, None)), (trace, ("-", None)), (image, (None, "-"))):
+        with pytest.raises(formats.FormatError):
+            given(piped, *names)
+    with pytest.raises(formats.FormatError, match="no input"):
+        given(b"", None, m, terminal=True)
+
+
+def test_views_fit_zoom_and_pan():
+    port = R.Viewport.fit(0, 0, 4, 1, 2.0)
+    assert (port.x, port.y, port.height) == (2, 0.5, pytest.approx(2 * 1.08))
+    assert port.bounds(2.0) == pytest.approx((2 - 2.16, 0.5 - 1.08, 2 + 2.16, 0.5 + 1.08))
+    assert port.zoomed(0.5).height == pytest.approx(1.08) and port.zoomed(1e9).height == R.FARTHEST and port.zoomed(0).height == R.NEAREST
+    moved = port.panned(0.5, -1, 2.0)
+    assert (moved.x, moved.y) == pytest.approx((2 + 2.16, 0.5 - 2.16))
+    assert R.Viewport.fit(1, 1, 1, 1, 2.0).height == R.NO_EXTENT
+    assert R.is_blank(np.zeros((2, 2))) and not R.is_blank(np.array([[0, 0.1]]))
+
+
+@pytest.mark.parametrize(("env", "feet"), [({"LC_ALL": "C", "LANG": "en_US.UTF-8"}, True), ({"LANG": "en-US"}, True), ({"LC_MEASUREMENT": "de_DE", "LANG": "en_US"}, False), ({"LANG": "my_MM"}, True), ({"LANG": "POSIX"}, False), ({}, False), ({"LANG": "en_LR.UTF-8@x"}, True)])
+def test_regions_that_measure_in_feet(env, feet):
+    assert X.imperial_locale(env) is feet
+
+
+@pytest.mark.parametrize(("data", "fmt"), [(b"\xef\xbb\xbf \r\n<GPX>", "gpx"), (b"<?xml?><trainingcenterDATABASE>", "tcx"), (b"<x><KML/>", "kml"), (b"<html>", None), (b"a,Longitude\n1,2", "csv"), (b"time,LAT\n", "csv"), (b"a;lat", None), (b" [1]", "geojson"), (b"12345678.FIT", "fit")])
+def test_contents_tell_their_format(spark, data, fmt):
+    assert formats.by_content(data) == fmt
+    assert spark.createDataFrame([(data.decode("utf-8"),)], "c string").select(formats.sniffed(F.col("c"))).first()[0] == fmt
+
+
+def test_times_of_loose_points():
+    times = ["2026-07-11T11:30:00Z", "2026-07-11T11:31:00Z"]
+    one = {"type": "Feature", "properties": {"coordTimes": times, "desc": "x", "name": "n"}, "geometry": {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4], [5, 6]]}}
+    two = {"type": "Feature", "properties": {"times": [times]}, "geometry": {"type": "Point", "coordinates": [1, 2]}}
+    found = [formats.read_geojson(json.dumps(x).encode())["tracks"][0] for x in (one, two)]
+    assert [p["time"] and p["time"].minute for p in found[0]["segments"][0]["points"]] == [30, 31, None]
+    assert found[1]["segments"][0]["points"][0]["time"].minute == 30
+    line = {"type": "Feature", "properties": {"name": "n", "description": "d"}, "geometry": {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}}
+    assert [formats.read_geojson(json.dumps(line).encode())["tracks"][0][k] for k in ("name", "description")] == ["n", None]
+
+
+def test_tracks_and_speeds_of_activities():
+    point = "<Trackpoint><Position><LatitudeDegrees>1</LatitudeDegrees><LongitudeDegrees>2</LongitudeDegrees></Position>{}</Trackpoint>"
+    speed = "<Speed>9</Speed><Extensions><n:TPX xmlns:n='u'><n:Speed>3.5</n:Speed></n:TPX></Extensions>"
+    xml = f"<TrainingCenterDatabase><Activities><Activity><Id>no time</Id><Track>{point.format(speed)}</Track><Lap><Track>{point.format('<Speed>9</Speed>')}</Track></Lap><Creator><Name>A</Name></Creator></Activity><Activity><Id>2026-07-11T11:30:00Z</Id><Creator><Name>B</Name></Creator></Activity></Activities><Author><Name>C</Name></Author></TrainingCenterDatabase>"
+    trace = formats.read_tcx(xml.encode())
+    assert [[p["speed"] for p in s["points"]] for s in trace["tracks"][0]["segments"]] == [[3.5], [None]]
+    assert (trace["metadata"]["source_device"], trace["metadata"]["created"]) == ("B", None)
+
+
 @pytest.mark.parametrize(("f", "text", "value"), [(X.parse_distance, "2.5 km", 2500), (X.parse_distance, "10", 10), (X.parse_distance, "1e1ft", 3.048), (X.parse_duration, "2min", 120), (X.parse_duration, "1500ms", 1.5), (X.parse_speed, "36 km/h", 10)])
 def test_units(f, text, value):
     assert f(text) == pytest.approx(value)

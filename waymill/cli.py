@@ -22,7 +22,7 @@ from .operators import measures as M
 from .operators import merging as G
 from .operators import points as P
 from .operators import rendering as R
-from .sources import archive, formats
+from .sources import archive, formats, png
 
 FORMATS = [f for f in formats.NAMES if f not in formats.NOT_BUILT]
 
@@ -33,23 +33,32 @@ def session() -> SparkSession:
     return spark
 
 
-def _load(path: str) -> bytes:
-    if path == "-":
-        return sys.stdin.buffer.read()
-    with open(path, "rb") as f:
-        return f.read()
+def _load(path: str | None) -> bytes:
+    """A file; - or no name: what is piped in. Without a name nothing is waited for at a terminal."""
+    if path not in (None, "-"):
+        with open(path, "rb") as f:
+            return f.read()
+    if sys.stdin.isatty():
+        if path is None:
+            raise formats.FormatError("no input; name a file, pipe one in, or ask for - to type it")
+        _say("reading from the terminal")
+    return sys.stdin.buffer.read()
 
 
-def _traces(spark: SparkSession, paths: list[str], explicit: str | None) -> tuple[DataFrame, list[str]]:
-    """Nested traces, numbered in the order of paths, and their formats."""
+def _parsed(spark: SparkSession, given: list[tuple[bytes, str | None]], explicit: str | None) -> tuple[DataFrame, list[str]]:
+    """Nested traces, numbered in order, and their formats. given: contents and names."""
     rows, found = [], []
-    for i, path in enumerate(paths):
-        trace, fmt = formats.parse(_load(path), None if path == "-" else path, explicit)
+    for i, (data, name) in enumerate(given):
+        trace, fmt = formats.parse(data, name, explicit)
         rows.append({"trace_id": str(i), **trace})
         found.append(fmt)
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=formats.ARROW), P.TRACES), found
 
 
+def _traces(spark: SparkSession, paths: list[str | None], explicit: str | None) -> tuple[DataFrame, list[str]]:
+    return _parsed(spark, [(_load(p), None if p == "-" else p) for p in paths], explicit)
+
+
 def _emit(text: str | bytes, path: str | None) -> None:
     data = text.encode() if isinstance(text, str) else text
     if path and path != "-":
@@ -76,23 +85,36 @@ def _nest(points: DataFrame, like: DataFrame) -> DataFrame:
 
 def info(spark: SparkSession, a) -> None:
     traces, found = _traces(spark, [a.input], getattr(a, "from"))
-    counted, meta = M.nested_counts(traces).first(), traces.select("metadata.name").first()["name"]
-    s = M.summary(P.flattened(traces), a.elevation_threshold).first()
-    s = s.asDict() if s else {}
-    out = {"format": found[0], "name": meta, "tracks": counted.tracks, "segments": counted.segments, "points": counted.points, "distance_m": s.get("distance_m", 0.0)}
+    counted, name = M.nested_counts(traces).first(), traces.select("metadata.name").first()["name"]
+    row = M.summary(P.flattened(traces), a.elevation_threshold).first()
+    s = row.asDict() if row else {}
+    out = {"source_format": found[0], "name": name, "tracks": counted.tracks, "segments": counted.segments, "points": counted.points, "distance_m": s.get("distance_m", 0.0)}
     out |= {k: s[k].isoformat() + "Z" if s.get(k) else None for k in ("start_time", "end_time")}
-    out |= {k: s.get(k) for k in ("duration_s", "avg_speed_mps", "gain_m", "loss_m", "min_ele_m", "max_ele_m")}
-    if s.get("min_lon") is not None:
+    out |= {k: s.get(k) for k in ("duration_s", "avg_speed_mps")}
+    climb = {k: s.get(v) for k, v in (("gain_m", "gain_m"), ("loss_m", "loss_m"), ("min_m", "min_ele_m"), ("max_m", "max_ele_m"), ("threshold_m", "threshold_m"))}
+    out["elevation"] = climb if climb["min_m"] is not None else None
+    sides = {k: s.get(k) for k in ("min_lat", "min_lon", "max_lat", "max_lon")}
+    out["bounds"] = sides if sides["min_lon"] is not None else None
+    if out["bounds"]:
         out["bbox"] = [s[k] for k in ("min_lon", "min_lat", "max_lon", "max_lat")]
     if a.json:
-        _emit(json.dumps(out, indent=2) + "\n", None)
+        _emit(json.dumps(out, indent=2, ensure_ascii=False) + "\n", None)
         return
-    imperial = X.imperial_locale()
-    row = spark.createDataFrame([(out["distance_m"], out["duration_s"] or 0, counted.points)], "m double, s long, n long").select(X.shown_distance(F.col("m"), imperial).alias("m"), X.clock(F.col("s")).alias("s"), X.thousands(F.col("n")).alias("n")).first()
-    lines = [("Format", found[0]), ("Name", meta), ("Tracks", counted.tracks), ("Segments", counted.segments), ("Points", row.n), ("Distance", row.m), ("Start", out["start_time"]), ("End", out["end_time"]), ("Duration", row.s if out["duration_s"] is not None else None)]
-    if out["gain_m"] is not None:
-        lines.append(("Elevation", f"+{out['gain_m']:.0f} m / -{out['loss_m']:.0f} m ({out['min_ele_m']:.0f}-{out['max_ele_m']:.0f} m)"))
-    _emit("".join(f"{k:<10} {v}\n" for k, v in lines if v is not None), None)
+    shown = spark.createDataFrame([(out["duration_s"] or 0, counted.tracks, counted.segments, counted.points)], "s long, t long, g long, p long")
+    shown = shown.select(X.clock(F.col("s")).alias("s"), *[X.thousands(F.col(c)).alias(c) for c in "tgp"]).first()
+    lines = [("format", found[0]), ("tracks", shown.t), ("segments", shown.g), ("points", shown.p), ("distance", f"{out['distance_m'] / 1000:.2f} km")]
+    if out["duration_s"] is not None:
+        lines.append(("duration", shown.s))
+    if out["avg_speed_mps"] is not None:
+        lines.append(("avg speed", f"{out['avg_speed_mps'] * 3.6:.1f} km/h"))
+    if e := out["elevation"]:
+        lines.append(("elevation", f"+{e['gain_m']:.0f} m / -{e['loss_m']:.0f} m  ({e['min_m']:.0f}\u2013{e['max_m']:.0f} m)"))
+    if s.get("start_time"):
+        lines.append(("time", f"{s['start_time']:%Y-%m-%d %H:%M:%S} \u2192 {s['end_time']:%Y-%m-%d %H:%M:%S} UTC"))
+    if b := out["bounds"]:
+        lines.append(("bounds", f"{b['min_lat']:.4f}, {b['min_lon']:.4f} \u2192 {b['max_lat']:.4f}, {b['max_lon']:.4f}"))
+        lines.append(("bbox", ",".join(f"{x:.6f}" for x in out["bbox"])))
+    _emit("".join([f"{name}\n" if name is not None else "", *[f"  {k:<12}{v}\n" for k, v in lines]]), None)
 
 
 def convert(spark: SparkSession, a) -> None:
@@ -127,6 +149,15 @@ def clean(spark: SparkSession, a) -> None:
         _say(json.dumps(row.asDict() if row else {}))
 
 
+def listing(types: list[dict], total: dict) -> str:
+    """The kinds of activities as a table, and what there is in all."""
+    head = ("activity type", "logs", "with GPS")
+    wide = [max([len(h), *[len(str(t[k])) for t in types]]) for h, k in zip(head, ("name", "logs", "with_gps"), strict=True)]
+    rows = [head, *[(t["name"], t["logs"], t["with_gps"]) for t in types]]
+    table = "".join(f"{n:<{wide[0]}}  {x:>{wide[1]}}  {y:>{wide[2]}}\n" for n, x, y in rows)
+    return f"{table}\n{total['total_logs']} logs, {total['total_with_gps']} with GPS, {total['days_of_recording']} days of recording\n"
+
+
 def takeout(spark: SparkSession, a) -> None:
     parts = archive.Archive(a.inputs)
     backend = parts.backend()
@@ -134,9 +165,9 @@ def takeout(spark: SparkSession, a) -> None:
         raise formats.FormatError("timeline archives are not implemented" if backend else f"no recordings found; the archive has {', '.join(parts.products()) or 'nothing'}")
     logs, fixes = archive.read_logs(spark, parts), archive.read_fixes(spark, parts)
     if a.list:
-        types = [r.asDict() for r in A.activity_types(logs).orderBy("place").drop("place").collect()]
+        types = [{"name": r["name"], "logs": r.with_gps + r.without_gps, "with_gps": r.with_gps} for r in A.activity_types(logs).orderBy("place").collect()]
         total = A.totals(logs, fixes).first().asDict()
-        _emit(json.dumps({"types": types, **total}, indent=2) + "\n" if a.json else "".join(f"{t['name']:<24} {t['with_gps'] + t['without_gps']:>6} {t['with_gps']:>6}\n" for t in types), None)
+        _emit(json.dumps({"types": types, **total}, indent=2, ensure_ascii=False) + "\n" if a.json else listing(types, total), None)
         return
     names = [t.strip() for t in (a.type or "").split(",") if t.strip()]
     if names:
@@ -164,10 +195,47 @@ def takeout(spark: SparkSession, a) -> None:
     _emit(_rendered(P.nested(one, tracks, meta), target), a.output)
 
 
+def drawing_inputs(trace: str | None, basemap: str | None) -> tuple[bytes, str | None, bytes]:
+    """The trace, its name, and the map image. At most one is piped in: the one called -, or the one that isn't named."""
+    if trace == "-" and basemap == "-":
+        raise formats.FormatError("the trace and the map image can't both be piped in")
+    if trace is None or basemap is None:
+        if "-" in (trace, basemap):
+            raise formats.FormatError("no map image; name one with --basemap" if basemap is None else "no trace; name a file")
+        piped = _load(None)
+        if piped.startswith(png.SIGNATURE):
+            if basemap is not None:
+                raise formats.FormatError("there are two map images, one piped in and one named")
+            if trace is None:
+                raise formats.FormatError("no trace; name a file")
+            return _load(trace), trace, piped
+        if basemap is None:
+            raise formats.FormatError("no map image; name one with --basemap")
+        return piped, None, _load(basemap)
+    return _load(trace), None if trace == "-" else trace, _load(basemap)
+
+
 def render(spark: SparkSession, a) -> None:
-    traces, _ = _traces(spark, [a.input], getattr(a, "from"))
+    data, name, image = drawing_inputs(a.input, a.basemap)
+    traces, _ = _parsed(spark, [(data, name)], getattr(a, "from"))
+    points = P.flattened(traces)
     box = X.parse_bbox(a.bbox) if a.bbox else None
-    out = R.rendered(P.flattened(traces), _load(a.basemap), box, a.fog, a.reveal, a.fog_opacity, X.parse_color(a.track_color) if a.track_color else R.TRACK_COLOR, a.track_width)
+    if box is None:
+        b = M.bounds(points).first()
+        if b is None:
+            raise formats.FormatError("the trace has no points to draw")
+        box = (b.min_lon, b.min_lat, b.max_lon, b.max_lat)
+        if box[0] >= box[2] or box[1] >= box[3]:
+            raise formats.FormatError("the trace has no extent; name the box of the map image with --bbox")
+    if a.reveal is None:
+        a.reveal = R.REVEAL_FT * 0.3048 if X.imperial_locale() else R.REVEAL_M
+    if not 0 < a.track_width < float("inf"):
+        raise formats.FormatError("a track is wider than nothing")
+    out = R.rendered(points, image, box, a.fog, a.reveal, a.fog_opacity, X.parse_color(a.track_color) if a.track_color else R.TRACK_COLOR, a.track_width)
+    canvas, _ = png.decode(image)
+    base = R.Basemap(canvas.shape[1], canvas.shape[0], *box)
+    if abs(base.aspect_skew - 1) > R.SKEW:
+        _say(f"the map image has {base.width}x{base.height} pixels, but its box has the shape of {round(base.width / base.aspect_skew)}x{base.height}; the trace is stretched")
     _emit(out, a.output)
 
 
@@ -178,17 +246,15 @@ def view(spark: SparkSession, a) -> None:
     b = M.bounds(points).first()
     if b is None:
         raise formats.FormatError("there are no points to draw")
-    columns, rows, lat0 = a.columns, a.rows, (b.min_lat + b.max_lat) / 2
-    # The room around a trace and the least width of the view.
-    padding, least = 1.08, 0.001
     from .functions.geo import equirectangular
 
-    x, y = equirectangular(F.col("lat"), F.col("lon"), F.lit(lat0))
+    x, y = equirectangular(F.col("lat"), F.col("lon"), F.lit((b.min_lat + b.max_lat) / 2))
     flat = points.withColumns({"_x": x, "_y": y})
-    e = flat.agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1")).first()
-    span = max((e.x1 - e.x0) / (2 * columns), (e.y1 - e.y0) / (4 * rows), least / (2 * columns)) * padding
-    dots = flat.withColumns({"px": (F.col("_x") - (e.x0 + e.x1) / 2) / span + columns, "py": ((e.y0 + e.y1) / 2 - F.col("_y")) / span + 2 * rows})
-    _emit("\n".join(R.braille(R.strokes(dots), columns, rows)) + "\n", None)
+    e = flat.agg(F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y")).first()
+    aspect = R.cell_aspect(a.columns, a.rows)
+    port = R.Viewport.fit(*e, aspect).zoomed(a.zoom).panned(*a.pan, aspect)
+    px, py = port.to_dots(F.col("_x"), F.col("_y"), a.columns, a.rows)
+    _emit("\n".join(R.braille(R.strokes(flat.withColumns({"px": px, "py": py})), a.columns, a.rows)) + "\n", None)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -197,7 +263,7 @@ def parser() -> argparse.ArgumentParser:
 
     def add(name: str, run: Callable, many: bool = False) -> argparse.ArgumentParser:
         p = sub.add_parser(name)
-        p.add_argument("inputs" if many else "input", nargs="+" if many else None)
+        p.add_argument("inputs" if many else "input", nargs="+" if many else "?")
         if name != "takeout":
             p.add_argument("--from", choices=formats.NAMES)
         p.set_defaults(run=run)
@@ -233,16 +299,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--source")
     p.add_argument("--segment-gap", type=X.parse_duration, default=K.SEGMENT_GAP_S)
     p = writes(add("render", render), False)
-    p.add_argument("--basemap", required=True)
+    p.add_argument("--basemap")
     p.add_argument("--bbox")
     p.add_argument("--fog", action="store_true")
-    p.add_argument("--reveal", type=X.parse_distance, default=R.REVEAL_M)
+    p.add_argument("--reveal", type=X.parse_distance)
     p.add_argument("--fog-opacity", type=float, default=R.FOG_OPACITY)
     p.add_argument("--track-color")
     p.add_argument("--track-width", type=float, default=R.TRACK_WIDTH)
     p = add("view", view)
     p.add_argument("--columns", type=int, default=78)
     p.add_argument("--rows", type=int, default=22)
+    p.add_argument("--zoom", type=float, default=1.0)
+    p.add_argument("--pan", type=float, nargs=2, default=(0.0, 0.0))
     return out
 
 

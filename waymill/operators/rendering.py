@@ -10,7 +10,7 @@ exchanged does not grow with the steps. The image itself, of bounded size, is co
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ SKEW = 0.02
 
 TILE = 512
 #: Pixels beside a line that get their exact distance, and pixels that are looked at together.
-BAND = 1.5
-AT_ONCE = 1 << 20
+BAND = 1.0
+AT_ONCE = 1 << 16
 #: Pixels along a step that one box covers.
 CHUNK = 16
 
@@ -159,7 +159,7 @@ def _spread(ox: np.ndarray, oy: np.ndarray, reach: int) -> tuple[np.ndarray, np.
 
 
 def _beside(x0, y0, x1, y1, width: int, height: int, rim: int):
-    """(x, y, ox, oy) of the pixels within BAND of steps: along the longer axis, six pixels across for each."""
+    """(x, y, ox, oy) of the pixels within BAND of steps: along the longer axis, four pixels across for each."""
     steep = np.abs(y1 - y0) > np.abs(x1 - x0)
     u0, v0, u1, v1 = (np.where(steep, a, b) for a, b in ((y0, x0), (x0, y0), (y1, x1), (x1, y1)))
     last = np.where(steep, height, width) - 1 + rim
@@ -172,7 +172,7 @@ def _beside(x0, y0, x1, y1, width: int, height: int, rim: int):
         u = (low[k] + at - (ends[k] - many[k]))[:, None]
         a, b, du, dv = u0[k][:, None], v0[k][:, None], (u1 - u0)[k][:, None], (v1 - v0)[k][:, None]
         along_ = np.clip(np.divide(u + 0.5 - a, du, out=np.zeros(u.shape), where=du != 0), 0, 1)
-        v = np.floor(b + along_ * dv - 0.5).astype(np.int64) + np.arange(-2, 4)
+        v = np.floor(b + along_ * dv - 0.5).astype(np.int64) + np.arange(-1, 3)
         square = du * du + dv * dv
         t = np.clip(np.divide((u + 0.5 - a) * du + (v + 0.5 - b) * dv, square, out=np.zeros(v.shape), where=square != 0), 0, 1)
         ou, ov = a + t * du - u - 0.5, b + t * dv - v - 0.5
@@ -271,6 +271,11 @@ def mask(cells: DataFrame, width: int, height: int) -> np.ndarray:
     return out
 
 
+def is_blank(cover: np.ndarray) -> bool:
+    """Whether nothing of the image is reached."""
+    return not (cover > 0).any()
+
+
 def blend(image: np.ndarray, cover: np.ndarray, color: tuple[int, int, int, int]) -> np.ndarray:
     """color over image, as far as cover and its own alpha go."""
     a = cover.astype(float) * color[3] / 255
@@ -320,12 +325,15 @@ def rendered(points: DataFrame, image: bytes, bbox: tuple[float, float, float, f
         raise RenderError("there are no points to draw")
     base = Basemap(canvas.shape[1], canvas.shape[0], *(bbox or tuple(box[1:5])))
     pixels = projected(points, base)
-    seen = pixels.filter(F.col("px").between(0, base.width) & F.col("py").between(0, base.height)).limit(1).count()
-    if not seen:
-        raise RenderError("all points are outside the map image")
+    if fog and not reveal_m > 0:
+        raise RenderError("a reveal is wider than nothing")
+    cells = fog_cover(pixels, base, reveal_m) if fog else coverage(strokes(pixels), base.width, base.height, *stroke_shape(width))
+    cover = mask(cells, base.width, base.height)
+    if is_blank(cover):
+        raise RenderError("the trace is outside of the map image")
     if fog:
-        return png.encode(darken(canvas, mask(fog_cover(pixels, base, reveal_m), base.width, base.height), fog_opacity), alpha)
-    canvas = blend(canvas, mask(coverage(strokes(pixels), base.width, base.height, *stroke_shape(width)), base.width, base.height), color)
+        return png.encode(darken(canvas, cover, fog_opacity), alpha)
+    canvas = blend(canvas, cover, color)
     for place, mark in ((box["first"], START_COLOR), (box["last"], END_COLOR)):
         x, y = base._unit(place["lat"], place["lon"])
         left, top, w, h = base.frame
@@ -355,3 +363,44 @@ def braille(lines: DataFrame, columns: int, rows: int) -> list[str]:
     for x in cells:  # as many as the screen has cells
         grid[x["r"]][x["c"]] = chr(BRAILLE + x["bits"])
     return ["".join(r).rstrip() for r in grid]
+
+
+# The room around a trace, the extent of one that has none, and how near and far a view can go.
+FIT_PADDING, NO_EXTENT, NEAREST, FARTHEST = 1.08, 0.001, 0.00001, 180.0
+
+
+def cell_aspect(columns: int, rows: int) -> float:
+    """Width over height of a view of so many braille cells, whose dots are square."""
+    return max(1, columns) / (2 * max(1, rows))
+
+
+@dataclass(frozen=True)
+class Viewport:
+    """What a view shows, in projected units: its centre and its height."""
+
+    x: float
+    y: float
+    height: float
+
+    @classmethod
+    def fit(cls, x0: float, y0: float, x1: float, y1: float, aspect: float) -> Viewport:
+        need = max(y1 - y0, (x1 - x0) / max(aspect, 1e-300))
+        height = min(FARTHEST, max(NEAREST, need * FIT_PADDING)) if np.isfinite(need) and need > 0 else NO_EXTENT
+        return cls((x0 + x1) / 2, (y0 + y1) / 2, height)
+
+    def bounds(self, aspect: float) -> tuple[float, float, float, float]:
+        """Least x, least y, greatest x, greatest y."""
+        w, h = self.height * aspect / 2, self.height / 2
+        return self.x - w, self.y - h, self.x + w, self.y + h
+
+    def zoomed(self, factor: float) -> Viewport:
+        """Nearer with a factor below one."""
+        return replace(self, height=min(FARTHEST, max(NEAREST, self.height * factor)))
+
+    def panned(self, across: float, up: float, aspect: float) -> Viewport:
+        """Moved by shares of what is shown."""
+        return replace(self, x=self.x + across * self.height * aspect, y=self.y + up * self.height)
+
+    def to_dots(self, x: Column, y: Column, columns: int, rows: int) -> tuple[Column, Column]:
+        left, _, right, top = self.bounds(cell_aspect(columns, rows))
+        return (x - left) / (right - left) * (2 * columns), (F.lit(top) - y) / self.height * (4 * rows)

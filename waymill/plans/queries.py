@@ -366,12 +366,12 @@ def fog_render(spark, sf_dir):
     return R.fog_cover(R.projected(V.points(spark, sf_dir), base), base, 25.0).select("x", "y", *_round("coverage"))
 
 
-_SNIFF = """CASE WHEN substr(c, 9, 4) = '.FIT' THEN 'fit' WHEN substr(h, 1, 1) IN ('{', '[') THEN 'geojson' WHEN starts_with(h, '<') THEN CASE WHEN contains(h, '<gpx') THEN 'gpx' WHEN contains(h, '<TrainingCenterDatabase') THEN 'tcx' WHEN contains(h, '<kml') THEN 'kml' END
- WHEN contains(f, ',') AND contains(f, 'lat') AND contains(f, 'lon') THEN 'csv' END"""
+_SNIFF = """CASE WHEN substr(c, 9, 4) = '.FIT' THEN 'fit' WHEN substr(h, 1, 1) IN ('{', '[') THEN 'geojson' WHEN starts_with(h, '<') THEN CASE WHEN contains(lower(h), '<gpx') THEN 'gpx' WHEN contains(lower(h), '<trainingcenterdatabase') THEN 'tcx' WHEN contains(lower(h), '<kml') THEN 'kml' END
+ WHEN contains(f, ',') AND (contains(f, 'lat') OR contains(f, 'lon')) THEN 'csv' END"""
 
 
 @query(f"""WITH c AS (SELECT page_id AS id, 'page' AS kind, html AS c FROM pages UNION ALL SELECT doc_id, 'document', text FROM documents UNION ALL SELECT event_id, 'event', props FROM events),
-h AS (SELECT id, kind, c, trim(substr(c, 1, 4096), ' ' || chr(9) || chr(13) || chr(10)) AS h FROM c), f AS (SELECT *, lower(string_split(h, chr(10))[1]) AS f FROM h) SELECT id, kind, {_SNIFF} AS format FROM f""")
+h AS (SELECT id, kind, c, ltrim(substr(c, 1, 4096), chr(65279) || ' ' || chr(9) || chr(13) || chr(10)) AS h FROM c), f AS (SELECT *, lower(string_split(h, chr(10))[1]) AS f FROM h) SELECT id, kind, {_SNIFF} AS format FROM f""")
 def format_sniff(spark, sf_dir):
     parts = [V.table(spark, sf_dir, t).select(F.col(i).alias("id"), F.lit(k).alias("kind"), F.col(c).alias("c")) for t, i, k, c in (("pages", "page_id", "page", "html"), ("documents", "doc_id", "document", "text"), ("events", "event_id", "event", "props"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "kind", S.sniffed(F.col("c")).alias("format"))

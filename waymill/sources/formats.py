@@ -37,6 +37,11 @@ SNIFFED = 4096
 Trace = dict
 
 
+#: Characters that may stand before the content, and what tells the XML formats, in lower case.
+LEADING = "\ufeff \t\r\n"
+OPENINGS = {"gpx": "<gpx", "tcx": "<trainingcenterdatabase", "kml": "<kml"}
+
+
 class FormatError(ValueError):
     """A file that can't be read or written as asked."""
 
@@ -52,13 +57,14 @@ def by_extension(name: str | None) -> str | None:
 def by_content(data: bytes) -> str | None:
     if data[8:12] == b".FIT":
         return "fit"
-    head = data[:SNIFFED].decode("utf-8", "replace").lstrip("\ufeff").strip()
+    head = data[:SNIFFED].decode("utf-8", "replace").lstrip(LEADING)
     if head[:1] in ("{", "["):
         return "geojson"
+    low = head.lower()
     if head.startswith("<"):
-        return next((f for f, tag in (("gpx", "<gpx"), ("tcx", "<TrainingCenterDatabase"), ("kml", "<kml")) if tag in head), None)
-    first = head.split("\n", 1)[0].lower()
-    return "csv" if "," in first and "lat" in first and "lon" in first else None
+        return next((f for f, tag in OPENINGS.items() if tag in low), None)
+    first = low.split("\n", 1)[0]
+    return "csv" if "," in first and ("lat" in first or "lon" in first) else None
 
 
 def detect(data: bytes, name: str | None = None, explicit: str | None = None) -> str:
@@ -71,14 +77,14 @@ def detect(data: bytes, name: str | None = None, explicit: str | None = None) ->
 
 def sniffed(content: Column) -> Column:
     """by_content as a column of text."""
-    head = F.btrim(F.regexp_replace(F.substring(content, 1, SNIFFED), "^\ufeff", ""), F.lit(" \t\r\n"))
-    first = F.lower(F.substring_index(head, "\n", 1))
-    xml = F.when(F.instr(head, "<gpx") > 0, "gpx").when(F.instr(head, "<TrainingCenterDatabase") > 0, "tcx").when(F.instr(head, "<kml") > 0, "kml")
+    head = F.lower(F.ltrim(F.substring(content, 1, SNIFFED), F.lit(LEADING)))
+    first = F.substring_index(head, "\n", 1)
+    xml = F.coalesce(*[F.when(F.instr(head, tag) > 0, f) for f, tag in OPENINGS.items()])
     return (
         F.when(F.substring(content, 9, 4) == ".FIT", "fit")
         .when(F.substring(head, 1, 1).isin("{", "["), "geojson")
         .when(F.startswith(head, F.lit("<")), xml)
-        .when((F.instr(first, ",") > 0) & (F.instr(first, "lat") > 0) & (F.instr(first, "lon") > 0), "csv")
+        .when((F.instr(first, ",") > 0) & ((F.instr(first, "lat") > 0) | (F.instr(first, "lon") > 0)), "csv")
     )
 
 
@@ -193,19 +199,19 @@ def _tcx_point(node) -> dict | None:
         lat, lon = place(_number(_text(node, "Position", "LatitudeDegrees")), _number(_text(node, "Position", "LongitudeDegrees")))
     except FormatError:
         return None
-    speed = next((_number(x.text) for x in node.iter() if _local(x.tag) == "Speed"), None)
+    speeds = [_number(x.text) for tpx in node.iter() if _local(tpx.tag) == "TPX" for x in _children(tpx, "Speed")]
+    speed = speeds[-1] if speeds else None
     return _point(lat, lon, _finite(_number(_text(node, "AltitudeMeters"))), _time(_text(node, "Time")), heart_rate=_small(_text(node, "HeartRateBpm", "Value")), cadence=_small(_text(node, "Cadence")), speed=speed)
 
 
 def read_tcx(data: bytes) -> Trace:
-    root, tracks, created, device = _root(data, "tcx"), [], None, None
+    root, tracks, first = _root(data, "tcx"), [], None
     for activity in (x for x in root.iter() if _local(x.tag) == "Activity"):
-        segments = [[p for n in _children(t, "Trackpoint") if (p := _tcx_point(n))] for lap in _children(activity, "Lap") for t in _children(lap, "Track")]
+        segments = [[p for n in _children(t, "Trackpoint") if (p := _tcx_point(n))] for t in activity.iter() if _local(t.tag) == "Track"]
         tracks.append(_track(segments, None, _text(activity, "Notes")))
-        created = created or _time(_text(activity, "Id"))
-        device = device or _text(activity, "Creator", "Name")
-    device = device or _text(root, "Author", "Name")
-    return _trace("tcx", tracks, None, None, device, created)
+        first = _text(activity, "Id") if first is None else first
+    named = lambda kind: next((n for x in reversed(list(root.iter())) if _local(x.tag) == kind and (n := _text(x, "Name")) is not None), None)  # noqa: E731  the last one
+    return _trace("tcx", tracks, None, None, named("Creator") or named("Author"), _time(first))
 
 
 def _position(c, time=None) -> dict:
@@ -228,21 +234,21 @@ def _line(coordinates: list, times: list) -> list[dict]:
     return [_position(c, times[i] if i < len(times) else None) for i, c in enumerate(coordinates or [])]
 
 
-def _geometry(g: dict | None, name, description, properties, tracks: list, loose: list) -> None:
+def _geometry(g: dict | None, name, properties, tracks: list, loose: list) -> None:
     kind, c = (g or {}).get("type"), (g or {}).get("coordinates")
+    times = _line_times(properties, kind == "MultiLineString")
+    flat = times[0] if times else []
     if kind == "LineString":
-        times = _line_times(properties, False)
-        tracks.append(_track([_line(c, times[0] if times else [])], name, description))
+        tracks.append(_track([_line(c, flat)], name, None))
     elif kind == "MultiLineString":
-        times = _line_times(properties, True)
-        tracks.append(_track([_line(x, times[i] if i < len(times) else []) for i, x in enumerate(c or [])], name, description))
+        tracks.append(_track([_line(x, times[i] if i < len(times) else []) for i, x in enumerate(c or [])], name, None))
     elif kind == "Point":
-        loose.append(_position(c))
+        loose.append(_position(c, flat[0] if flat else None))
     elif kind == "MultiPoint":
-        loose += [_position(x) for x in c or []]
+        loose += _line(c, flat)
     elif kind == "GeometryCollection":
         for x in g.get("geometries") or []:
-            _geometry(x, name, description, None, tracks, loose)
+            _geometry(x, name, None, tracks, loose)
 
 
 def read_geojson(data: bytes) -> Trace:
@@ -256,8 +262,7 @@ def read_geojson(data: bytes) -> Trace:
     features = root.get("features") or [] if root.get("type") == "FeatureCollection" else [root] if root.get("type") == "Feature" else [{"geometry": root}]
     for f in features:
         p = f.get("properties") or {}
-        text = lambda *names, p=p: next((p[n] for n in names if isinstance(p.get(n), str)), None)
-        _geometry(f.get("geometry"), text("name"), text("desc", "description"), p, tracks, loose)
+        _geometry(f.get("geometry"), p["name"] if isinstance(p.get("name"), str) else None, p, tracks, loose)
     if loose:
         tracks.append(_track([loose]))
     return _trace("geojson", tracks)
