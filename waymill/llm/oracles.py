@@ -40,3 +40,25 @@ m AS (SELECT doc_id, sum(length(h.x)) AS removed, sum(k) AS words FROM h JOIN c
 a AS (SELECT b.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(removed, 0) AS removed, coalesce(words, 0) AS words FROM b LEFT JOIN m USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_words - words < {LEAST_WORDS} OR word_chars - removed < {LEAST_KEPT} * word_chars) AS kept FROM a
 """
+
+#: Words under a 13-word window that a document with a smaller id holds too go.
+PHRASES = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) AS s FROM w),
+l AS (SELECT s, min(doc_id) AS low FROM s GROUP BY s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM s JOIN l USING (s) WHERE low < doc_id),
+a AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS n_removed FROM a LEFT JOIN g USING (doc_id, i) GROUP BY a.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+#: Distinct 4-word shingles, links of similarity 0.85 or more, and the least id that links lead to.
+JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i : i + 3], ' '))) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT a AS doc_id, a AS other FROM (SELECT DISTINCT a FROM e) UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM r GROUP BY doc_id) USING (doc_id)
+"""

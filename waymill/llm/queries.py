@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_frequency": oracles.QUALITY, "op9_line_dedup": oracles.LINES, "op10_exact_dedup": oracles.EXACT}
+    return {"op4_phrase_automata": oracles.PHRASES, "op6_ngram_jaccard": oracles.JACCARD, "op7_line_frequency": oracles.QUALITY, "op9_line_dedup": oracles.LINES, "op10_exact_dedup": oracles.EXACT}
