@@ -227,7 +227,7 @@ def test_lines_of_odd_rows(odd, none, spark):
 
 
 def test_runs_are_merged_by_levels(spark):
-    runs = lines.Runs(fanout=2)
+    runs = lines.Runs(4, fanout=2)
     batch = lambda *x: spark.createDataFrame([(bytes([k]), d) for k, d in x], "key binary, doc long")
     new = [sorted((bytes(r.key)[0], r.n, r.holder) for r in runs.add(b).collect()) for b in (batch((1, 9), (1, 8), (2, 9)), batch((1, 7), (3, 7)), batch((3, 6)))]
     assert new == [[(1, 2, 9), (2, 1, 9)], [(1, 1, None), (3, 1, 7)], [(3, 1, None)]]

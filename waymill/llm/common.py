@@ -57,7 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, bucket: str | None = None, n: int = 0) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here and every later read sees the same rows.
 
-    With bucket, files are dealt by that column without a shuffle, and a later grouping by it needs none either.
+    With bucket, files are dealt by that column without a shuffle and sorted by it, and a later grouping or merge join by
+    it needs no exchange either.
     """
     spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
@@ -65,7 +66,7 @@ def written(df: DataFrame, bucket: str | None = None, n: int = 0) -> DataFrame:
     if bucket is None:
         out.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    out.bucketBy(n, bucket).option("path", path).saveAsTable(name)
+    out.bucketBy(n, bucket).sortBy(bucket).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
