@@ -4,8 +4,8 @@ A run is a table (key, n documents, holder), in buckets sorted by key. Batches o
 their ids, so the first batch that brings a key holds its largest id: each new batch is merge-anti-joined with the
 runs, key by key without an exchange of them; a key that no run has gets its holder, any other only adds to its
 count, and the batch becomes a run of its own. A level that has FANOUT runs is merged into one run of the next
-level. So a batch reads a logarithmic number of runs and no run is rewritten often. Texts move only if a line of
-theirs may go.
+level. So a batch reads a logarithmic number of runs and no run is rewritten often. Very frequent lines go where they
+stand; other texts move only if a line of theirs may go.
 
 Null or empty text is one empty line. A null id counts as smaller than all, and rows with equal ids are one
 document. An empty table gives an empty result. Other columns pass through but for the ones that the operator
@@ -106,27 +106,31 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
         own = all_keys if low is None else all_keys.filter(F.col("doc") > low)
         runs.add(own if high is None else own.filter(F.col("doc") <= high))
     common = C.written(runs.merged(runs.runs()).filter(F.col("n") >= least_docs))
-    maybe = C.sifted(table.select("doc", "key"), F.xxhash64("key"), common.select(F.xxhash64("key").alias("x"))).filter("_maybe").select("doc", "key")
-    drops = C.met(maybe, common, ["key"], "n").filter("doc <> holder").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("_drop"))
-    drops = C.written(drops)
+    # A key of more than one in HOT of all common lines goes where it stands: there are fewer than HOT such keys.
+    least = (common.agg(F.sum("n")).first()[0] or 0) // C.HOT
+    hot = {bytes(r.key): r.holder for r in common.filter(F.col("n") > least).select("key", "holder").collect()}
+    cold = common.filter(F.col("n") <= least)
+    maybe = C.sifted(table.select("doc", "key"), F.xxhash64("key"), cold.select(F.xxhash64("key").alias("x"))).filter("_maybe").select("doc", "key")
+    drops = C.written(maybe.join(cold, "key").filter("doc <> holder").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("_drop")))
 
     kept = [f for f in docs.schema if f.name not in ("n_lines", "n_dropped")]
     at = [f.name for f in kept].index(text)
     joined = docs.select(*[F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(kept)], _number(id_col).alias("_doc"))
     placed = C.sifted(joined, F.xxhash64("_doc"), drops.select(F.xxhash64("_doc").alias("_x")))
-    columns = [f"_{i}" for i in range(len(kept))]
+    columns = [*[f"_{i}" for i in range(len(kept))], "_doc"]
     hit = placed.filter("_maybe").join(drops, "_doc", "left").select(*columns, "_drop")
     joined = placed.filter("not _maybe").select(*columns, F.lit(None).cast("array<binary>").alias("_drop")).unionByName(hit)
 
     def rewrite(batches):
         for batch in batches:
             out, n_lines, n_dropped = [], [], []
-            for value, drop in zip(batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist(), strict=True):
+            own = (batch.column(i).to_pylist() for i in (at, len(kept), len(kept) + 1))
+            for value, doc, drop in zip(*own, strict=True):
                 lines = (value or "").split("\n")
                 n = len(lines)
-                if drop:
-                    gone = set(drop)
-                    lines = [x for x in lines if len(x) < least_chars or not _is(x, gone, least_chars)]
+                if drop or hot:
+                    gone = set(drop or ())
+                    lines = [x for x in lines if len(x) < least_chars or not _goes(x, doc, gone, hot, least_chars)]
                 out.append("\n".join(lines))
                 n_lines.append(n)
                 n_dropped.append(n - len(lines))
@@ -139,6 +143,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     return done.select(*[F.col(f"_{i}").alias(f.name) for i, f in enumerate(kept)], "n_lines", "n_dropped")
 
 
-def _is(line: str, gone: set[bytes], least_chars: int) -> bool:
+def _goes(line: str, doc: int, gone: set[bytes], hot: dict[bytes, int], least_chars: int) -> bool:
     bare = line.strip(BLANKS)
-    return len(bare) >= least_chars and hashlib.md5(bare.encode().lower()).digest() in gone
+    if len(bare) < least_chars:
+        return False
+    name = hashlib.md5(bare.encode().lower()).digest()
+    return name in gone or hot.get(name, doc) != doc
