@@ -179,12 +179,17 @@ def trim_ends(spark, sf_dir):
     return K.trimmed(V.points(spark, sf_dir), 200.0).select("event_id", "seg_idx", "pt_idx")
 
 
-@query(f"{_KEPT}, drifted AS (SELECT * EXCLUDE (seg_idx), (dense_rank() OVER (PARTITION BY trace_id ORDER BY seg_idx) - 1)::INTEGER AS seg_idx FROM kept), {_fence_sql('drifted', 'fenced')}, {_trim_sql('fenced', 200.0, 'out')} {_PLACES} out")
+_CLEANED = f"{_KEPT}, drifted AS (SELECT * EXCLUDE (seg_idx), (dense_rank() OVER (PARTITION BY trace_id ORDER BY seg_idx) - 1)::INTEGER AS seg_idx FROM kept), {_fence_sql('drifted', 'fenced')}, {_trim_sql('fenced', 200.0, 'out')}"
+
+
+@query(f"{_CLEANED} {_PLACES} out")
 def clean_pipeline(spark, sf_dir):
     return K.cleaned(V.points(spark, sf_dir), max_mps=DRIFT_MPS, fences=FENCES, trim_m=200.0).select("event_id", "seg_idx", "pt_idx")
 
 
-@query()
+@query(f"""{_CLEANED}, n AS (SELECT trace_id, 0 AS s FROM pts UNION ALL SELECT trace_id, 1 FROM kept UNION ALL SELECT trace_id, 2 FROM fenced UNION ALL SELECT trace_id, 3 FROM out),
+c AS (SELECT trace_id, count(*) FILTER (s = 0) AS a, count(*) FILTER (s = 1) AS b, count(*) FILTER (s = 2) AS f, count(*) FILTER (s = 3) AS o FROM n GROUP BY trace_id)
+SELECT trace_id, a AS points_in, a - b AS drift_removed, b - f AS redacted, f - o AS trimmed, o AS points_out FROM c""")
 def clean_report(spark, sf_dir):
     return K.clean_report(V.points(spark, sf_dir), max_mps=DRIFT_MPS, fences=FENCES, trim_m=200.0)
 
@@ -295,10 +300,10 @@ def detect_offset(spark, sf_dir):
     return A.detect_offset(A.selected(logs), other)
 
 
-@query(f"WITH {_LOGS}, {_TOUCHED} SELECT log_id, day FROM touched WHERE day NOT IN (SELECT day FROM other WHERE dayofmonth(day) % 4 > 0)")
+@query(f"WITH {_LOGS}, {_TOUCHED} SELECT log_id, day FROM touched WHERE day NOT IN (SELECT day FROM other)")
 def missing_days(spark, sf_dir):
     logs, other = _logs(spark, sf_dir)
-    return A.missing_days(A.windows(A.selected(logs)), other.filter(F.dayofmonth("day") % 4 > 0))
+    return A.missing_days(A.windows(A.selected(logs)), other)
 
 
 @query(f"WITH {_LOGS} SELECT p_type AS wanted FROM (SELECT DISTINCT p_type FROM part) WHERE regexp_replace(lower(p_type), '[\\s_-]', '', 'g') NOT IN (SELECT regexp_replace(lower(name), '[\\s_-]', '', 'g') FROM logs)")
@@ -306,7 +311,12 @@ def type_unmatched(spark, sf_dir):
     return A.unmatched(_logs(spark, sf_dir)[0], V.table(spark, sf_dir, "part").select(F.col("p_type").alias("wanted")).distinct())
 
 
-@query()
+@query(f"""WITH {_LOGS}, touched AS (SELECT *, unnest(generate_series(make_timestamp(s)::DATE, make_timestamp(e)::DATE, INTERVAL 1 DAY))::DATE AS day FROM (SELECT log_id, name, t AS s, t + duration_ms * 1000 AS e FROM logs WHERE has_gps)),
+f AS (SELECT log_id, name, s, source, day, other.t, event_id FROM touched JOIN other USING (day) WHERE other.t >= s AND other.t < e),
+c AS (SELECT log_id, source, row_number() OVER (PARTITION BY log_id ORDER BY count(*) DESC, min((t, event_id)) DESC) AS place FROM f GROUP BY log_id, source),
+g AS (SELECT f.*, CASE WHEN t - lag(t) OVER (PARTITION BY log_id ORDER BY t, event_id) > {V.GAP_S * 1_000_000} THEN 1 ELSE 0 END AS new FROM f JOIN c USING (log_id, source) WHERE place = 1),
+n AS (SELECT *, sum(new) OVER (PARTITION BY log_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::INTEGER AS seg_idx FROM g)
+SELECT log_id, name || ' ' || make_timestamp(s)::DATE::VARCHAR AS track_name, source, event_id, seg_idx, row_number() OVER (PARTITION BY log_id, seg_idx ORDER BY t, event_id) - 1 AS pt_idx FROM n""")
 def extract_activities(spark, sf_dir):
     logs, other = _logs(spark, sf_dir)
     return A.extracted(A.selected(logs), other, gap_s=V.GAP_S).select("log_id", "track_name", "source", "event_id", "seg_idx", "pt_idx")
