@@ -2,10 +2,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waymill.llm import html_text, oracles, quality, secrets
@@ -323,3 +325,19 @@ def test_pages_table(spark):
     rows = html_text.extracted(frame).collect()
     assert [r.text for r in rows] == ["\n\n".join(TEXT), "", ""]
     assert html_text.extracted(frame.limit(0)).count() == 0
+
+
+def test_texts_are_made_piece_by_piece():
+    """A batch of many long texts is not held as strings in whole: only a piece of it is."""
+    texts = [f"{i} " + "plain words " * 400 for i in range(4000)] + [None, "x" * (3 << 20), ""]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["_0", "_text"])
+    tracemalloc.start()
+    rows = 0
+    for out in secrets.made(iter([batch]), 1, [("text", "string", pa.string())], lambda t: (t[::-1],)):
+        want = [(i, (texts[i] or "")[::-1]) for i in out.column(0).to_pylist()]
+        assert list(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)) == want
+        assert out.column(0)[0].as_py() == rows
+        rows += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 24 << 20  # all texts have 19 MB once, and would be held three times

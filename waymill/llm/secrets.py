@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +43,11 @@ LABELLED = 1500
 STEPS = 150
 LEARNT = 64
 #: Decoded parts that a worker remembers, of at most so many characters, and characters before a part that features see.
-KNOWN = 100_000
+KNOWN = 30_000
 SHORT = 64
 SEEN = 40
+#: Text bytes that a worker makes into one batch: not a whole batch of Spark's at a time, which may hold 10,000 long texts.
+MADE_BYTES = 2 << 20
 
 GAP = re.compile(r"(\s+)")
 PART = re.compile(r"\S+")
@@ -433,7 +436,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int
     def make(batches):
         known, tails = {}, {}
         for batch in batches:
-            seen = Counter((tuple(map(tuple, x[0])), tuple(x[2])) for value in batch.column(1).to_pylist() for x in labelled(value or "", known, tails))
+            seen = Counter((tuple(map(tuple, x[0])), tuple(x[2])) for piece in pieces(batch, 1) for value in piece.column(1).to_pylist() for x in labelled(value or "", known, tails))
             yield pa.record_batch([pa.array(list(map(json.dumps, seen)), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chain", "n"])
 
     found = sorted((r["chain"], r["n"]) for r in rows.mapInArrow(make, "chain string, n long").groupBy("chain").agg(F.sum("n").alias("n")).collect())
@@ -453,20 +456,36 @@ def found(text: str, field: Field | None) -> list[tuple[int, str, int, int]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
+def pieces(batch: pa.RecordBatch, column: int, limit: int = MADE_BYTES):
+    """batch in runs of rows with at most limit bytes in a column of strings, or one row that has more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and size + n > limit:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n + 100  # a row takes some itself
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def made(batches, kept: int, added: list, make):
+    """batches: kept columns and a text. Yields the kept columns and those that make gives of each text, a piece at a time."""
+    for batch in batches:
+        for piece in pieces(batch, kept):
+            rows = [make(x or "") for x in piece.column(kept).to_pylist()]
+            columns = [*piece.columns[:kept], *[pa.array([r[k] for r in rows], t) for k, (_, _, t) in enumerate(added)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[f"_{i}" for i in range(kept)], *[n for n, _, _ in added]])
+
+
 def _mapped(docs: DataFrame, text: str, added: list, make) -> DataFrame:
     """docs with columns replaced or added: make(text) gives their values."""
     names = [n for n, _, _ in added]
     kept = [f for f in docs.schema if f.name not in names]
     source = docs.select(*[F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(kept)], F.col(text).alias("_text"))
 
-    def run(batches):
-        for batch in batches:
-            rows = [make(x or "") for x in batch.column(len(kept)).to_pylist()]
-            columns = [*batch.columns[: len(kept)], *[pa.array([r[k] for r in rows], t) for k, (_, _, t) in enumerate(added)]]
-            yield pa.RecordBatch.from_arrays(columns, names=[*[f"_{i}" for i in range(len(kept))], *names])
-
     schema = ", ".join([*[f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)], *[f"`{n}` {s}" for n, s, _ in added]])
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(lambda batches: made(batches, len(kept), added, make), schema)
     return out.select(*[F.col(f"_{i}").alias(f.name) for i, f in enumerate(kept)], *names)
 
 
