@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -200,6 +201,86 @@ def test_activities_join_their_days(spark):
         A.check_source(A.joined(windowed, fixes), "tablet")
 
 
+def many_logs_and_fixes(spark, odd, n=60, m=500):
+    """Logs and fixes over five days, crowded at full minutes; odd: fixes in files of other days, ids that two logs have, ends before starts."""
+    rng, d = random.Random(5), datetime(2026, 7, 10)
+    logs = [(i // 2 if odd and i > n - 8 else i, f"Kind {i % 3}", 1, d + timedelta(minutes=rng.randrange(-600, 7000)), 60000 * rng.choice([0, 1, 30, 600, 1440, 4000, *([-90] * odd)]), True) for i in range(n)]
+    fixes = []
+    for i in range(m):
+        at = d + timedelta(minutes=rng.randrange(7200)) if i % 3 else d + timedelta(minutes=rng.randrange(40))
+        day = at.date() + timedelta(days=rng.choice([-1, 1]) if odd and i % 40 == 0 else 0)
+        fixes.append((day, i, at, 47.0, -122.0, None, rng.choice(["Phone", "Watch", "Band"] + [None] * odd)))
+    return (
+        spark.createDataFrame(logs, "log_id long, name string, type_id long, start timestamp_ntz, duration_ms long, has_gps boolean"),
+        spark.createDataFrame(fixes, "day date, row long, time timestamp, lat double, lon double, ele double, source string"), logs, fixes,
+    )
+
+
+def plain_join(logs, fixes):
+    """(log_id, fix) of every pair."""
+    for log_id, _, _, start, ms, _ in logs:
+        end = start + timedelta(milliseconds=ms)
+        for f in fixes:
+            if start <= f[2] < end and start.date() <= f[0] <= end.date():
+                yield log_id, f
+
+
+@pytest.mark.parametrize("odd", [0, 1])
+def test_activities_as_by_hand(spark, odd):
+    logs, fixes, own_logs, own_fixes = many_logs_and_fixes(spark, odd)
+    windowed, pairs = A.windows(A.selected(logs)), list(plain_join(own_logs, own_fixes))
+    assert sorted((r.log_id, r.row) for r in A.joined(windowed, fixes).collect()) == sorted((i, f[1]) for i, f in pairs)
+    for wanted in (None, "watch"):
+        held = {}
+        for i, f in pairs:
+            held.setdefault((i, f[6]), []).append((f[0], f[2], f[1]))
+        best = {i: max((k for k in held if k[0] == i), key=lambda k: (-1 if wanted and k[1] is None else k[1] is not None and k[1].lower() == wanted, len(held[k]), min(held[k])))[1] for i, _ in held}
+        got = A.choose_sources(windowed, fixes, wanted).collect()
+        assert sorted((r.log_id, r.source or "", r.fixes, r.chosen, r.first_seen.row) for r in got) == sorted((i, s or "", len(x), best[i] == s, min(x)[2]) for (i, s), x in held.items())
+        want = []
+        for i, s in best.items():
+            seg = pt = 0
+            run = sorted((f[2], f[0], f[1]) for j, f in pairs if j == i and s is not None and f[6] == s)
+            for k, x in enumerate(run):
+                if k and (x[0] - run[k - 1][0]).total_seconds() > 3600:
+                    seg, pt = seg + 1, 0
+                want.append((i, x[2], seg, pt))
+                pt += 1
+        got = A.extracted(A.selected(logs), fixes, source=wanted, gap_s=3600).collect()
+        assert sorted((r.log_id, r.row, r.seg_idx, r.pt_idx) for r in got) == sorted(want)
+        titles = {(str(r[0]), f"{r[1]} {r[3].date()}", f"Fitbit log {r[0]}") for r in own_logs}
+        assert {(r.trace_id, r.track_name, r.description) for r in got} <= titles
+
+
+def most(df, metric):
+    """The most that any node of the plan of df, which has run, says of a metric."""
+    found, left = [0], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        left += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        left += [node.children().apply(i) for i in range(node.children().size())]
+        if metric == "rows" and "Join" in kind or metric != "rows" and "Exchange" in kind:
+            said = node.metrics().get("numOutputRows" if metric == "rows" else "shuffleRecordsWritten")
+            found += [said.get().value()] if said.isDefined() else []
+    return max(found)
+
+
+def crowded(spark):
+    """400 logs over a day with 800 fixes: 320,000 pairs."""
+    start = F.lit("2026-07-11 00:00:00").cast("timestamp_ntz")
+    logs = spark.range(400).select(F.col("id").alias("log_id"), F.lit("Walk").alias("name"), start.alias("start"), F.lit(86_400_000).cast("long").alias("duration_ms"), F.lit(True).alias("has_gps"))
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2026-07-11 00:00:00").cast("timestamp")) + F.col("id") * 100)
+    return logs, spark.range(800).select(F.lit("2026-07-11").cast("date").alias("day"), F.col("id").alias("row"), at.alias("time"), F.lit("Watch").alias("source"))
+
+
+def test_devices_are_chosen_without_pairs(spark):
+    logs, fixes = crowded(spark)
+    chosen = A.choose_sources(A.windows(logs), fixes)
+    assert {(r.fixes, r.first_seen.row, r.chosen) for r in chosen.collect()} == {(800, 0, True)}
+    assert 0 < most(chosen, "rows") < 4000
+
+
 def test_the_offset_is_measured(spark):
     logs, fixes = logs_and_fixes(spark)
     shifted = logs.withColumn("start", F.expr("start - interval 4 hours"))
