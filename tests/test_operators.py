@@ -281,6 +281,13 @@ def test_devices_are_chosen_without_pairs(spark):
     assert 0 < most(chosen, "rows") < 4000
 
 
+def test_points_of_activities_are_not_exchanged(spark):
+    logs, fixes = crowded(spark)
+    points = A.extracted(logs, fixes)
+    assert len(points.collect()) == 320_000
+    assert 0 < most(points, "exchanged") < 40_000
+
+
 def test_the_offset_is_measured(spark):
     logs, fixes = logs_and_fixes(spark)
     shifted = logs.withColumn("start", F.expr("start - interval 4 hours"))
