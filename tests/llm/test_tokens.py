@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from waymill.llm import bpe, packing
+from waymill.llm import bpe, packing, secrets
 
 from .conftest import texts_of
 
@@ -147,3 +148,14 @@ def test_ranks_of_a_common_length(spark, monkeypatch):
     for length in (5, 9):
         ranks = sorted(r["rank"] for r in rows if r["length"] == length)
         assert ranks == list(range(len(ranks)))
+
+
+def test_workers_forget_words_before_tasks_of_other_operators():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one = bpe.encoder(path)
+    ids = one.encode(b"forgotten")
+    assert bpe.encoder(path) is one and one.words
+    batch = pa.record_batch([pa.array(["some text"])], names=["_text"])
+    assert len(list(secrets.made(iter([batch]), 0, [("text", "string", pa.string())], lambda t: (t,)))) == 1
+    assert bpe.encoder(path) is not one and not bpe.encoder(path).words
+    assert bpe.encoder(path).encode(b"forgotten") == ids

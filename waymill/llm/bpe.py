@@ -95,10 +95,13 @@ class WordEncoder:
 
 @cache
 def encoder(path: str) -> WordEncoder:
-    """One for each Python worker."""
+    """One for each Python worker, until tasks of another operator follow."""
     return WordEncoder(path)
 
 
+C.FORGETS.append(encoder.cache_clear)
+
+
 @cache
 def pieces(path: str) -> np.ndarray:
     """The piece of each id: as many entries as the vocabulary file has, whatever the corpus."""

@@ -79,6 +79,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """For each counter, the number of bits of its count."""
 
     def count(batches):
+        C.trimmed()
         counts, hashed, waiting, size = np.zeros(COUNTERS, np.int64), Hashed(), [], 0
         for batch in batches:
             for text in batch.column(1):
@@ -162,6 +163,7 @@ def _blocks(docs: DataFrame, shards: int, levels: np.ndarray, n: int, percent: i
     limit = C.block_bytes(shards)
 
     def make(batches):
+        C.trimmed()
         hashed = Hashed()
         for block, places, texts in C.gathered(_placed(batches), limit):
             keys, groups, sizes, signatures, rows, seen = [], [], [], [], {}, {}

@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 KINDS = ("assign", "access", "hex", "crf")
 _LETTERS = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -471,6 +473,7 @@ def pieces(batch: pa.RecordBatch, column: int, limit: int = MADE_BYTES):
 
 def made(batches, kept: int, added: list, make):
     """batches: kept columns and a text. Yields the kept columns and those that make gives of each text, a piece at a time."""
+    C.trimmed()
     for batch in batches:
         for piece in pieces(batch, kept):
             rows = [make(x or "") for x in piece.column(kept).to_pylist()]
