@@ -281,6 +281,31 @@ def test_devices_are_chosen_without_pairs(spark):
     assert 0 < most(chosen, "rows") < 4000
 
 
+@pytest.mark.parametrize("odd", [0, 1])
+def test_fixes_join_in_blocks(spark, odd, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 7)
+    logs, fixes, own_logs, own_fixes = many_logs_and_fixes(spark, odd)
+    fixes = fixes.unionByName(fixes.limit(9).withColumn("day", F.lit(None).cast("date"))).unionByName(fixes.limit(9).withColumn("time", F.lit(None).cast("timestamp")))
+    got = A.joined(A.windows(A.selected(logs)), fixes, ["row", "source"])
+    assert got.columns[-3:] == ["t", "row", "source"]
+    assert sorted((r.log_id, str(r.day), r.row, r.source or "") for r in got.collect()) == sorted((i, str(f[0]), f[1], f[6] or "") for i, f in plain_join(own_logs, own_fixes))
+
+
+def test_pairs_of_logs_and_fixes_need_little_disk(spark, tmp_path):
+    logs, fixes = crowded(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on large tables
+    try:
+        pairs = A.joined(A.windows(logs), fixes)
+        assert len(pairs.collect()) == 320_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < most(pairs, "exchanged") <= 400 * 5  # a row for each part of a day; for each hour before
+    logs, fixes = spark.range(5).join(logs).withColumn("log_id", F.col("log_id") * 5 + F.col("id")), fixes.withColumn("row", F.col("row") * 1009 % 100_003)
+    A.joined(A.windows(logs), fixes).select("log_id", "row").write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 1_600_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.3 * 1_600_000
+
+
 def test_points_of_activities_are_not_exchanged(spark):
     logs, fixes = crowded(spark)
     points = A.extracted(logs, fixes)
