@@ -66,6 +66,61 @@ def test_automata_locate_every_run(seed):
         assert flags.tolist() == want
 
 
+#: Lengths around lanes of eight bytes and around the longest word that is hashed with the others.
+SIZES = (1, 2, 7, 8, 9, 15, 16, 17, 31, 56, 57, 63, 64, 65, 66, 300)
+
+
+def test_words_of_a_block_are_hashed_at_once(monkeypatch):
+    rng, one_by_one = random.Random(3), []
+    monkeypatch.setattr(phrases, "_ONCE", 100)
+    real = phrases.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(phrases.xxhash, "xxh3_64_intdigest", lambda word: one_by_one.append(word) or real(word))
+    known = [bytes(rng.choice(b"\x00\x01ab\xc3\xa9\xff") for _ in range(n)) for n in SIZES for _ in range(9)]
+    docs = [[rng.choice(known) for _ in range(n)] for n in (0, 1, 400, 0, 12, 13, 700, 0)]
+    words = phrases._Words(b"\n".join(b" ".join(d) for d in docs))
+    flat = [w for d in docs for w in d]
+    assert [words.raw[i:j] for i, j in zip(words.first.tolist(), words.last.tolist(), strict=True)] == flat
+    assert np.diff(words.begin).tolist() == [len(d) for d in docs]
+    hashes = words.hashes().tolist()
+    assert len(set(zip(flat, hashes, strict=True))) == len(set(flat)) == len(set(hashes))
+    assert one_by_one and min(map(len, one_by_one)) > 64
+    at, doc = words.windows(13)
+    assert list(zip(at.tolist(), doc.tolist(), strict=True)) == [(int(words.begin[d]) + i, d) for d, w in enumerate(docs) for i in range(len(w) - 12)]
+
+
+@pytest.mark.parametrize("raw", [b"", b"\n", b"\n\na", b"a\n\n"])
+def test_words_of_texts_without_words(raw):
+    words = phrases._Words(raw)
+    assert np.diff(words.begin).tolist() == [len(t) for t in raw.split(b"\n")] and len(words.hashes()) == raw.count(b"a")
+
+
+def test_only_texts_with_a_seed_are_split():
+    class Text(bytes):
+        def split(self, *how):
+            raise AssertionError("split")
+
+    passage = [b"%d" % i for i in range(20)]
+    texts = [Text(b" ".join([b"x"] * 50)), b" ".join([b"y", *passage]), Text(b"x"), Text(b"")]
+    found = list(phrases.located([(1, passage)], texts, [5, 6, 7, 8], 13))
+    assert found[0] is found[2] is found[3] is None and found[1].tolist() == [False] + [True] * 20
+
+
+def test_phrases_of_words_of_all_lengths(spark):
+    rng = random.Random(4)
+    known = ["".join(rng.choice("abé\x01\x85") for _ in range(n)) for n in SIZES for _ in range(2)]
+    passages = [[rng.choice(known) for _ in range(20)] for _ in range(6)]
+    texts = [(i, "\t\n".join([*(rng.choice(known) for _ in range(rng.randrange(9))), *rng.choice(passages)[rng.randrange(4) :], "", "z"])) for i in range(60)]
+    rows, low = {k: t.encode().split() for k, t in texts}, {}
+    for k, w in rows.items():
+        for i in range(len(w) - 12):
+            low.setdefault(tuple(w[i : i + 13]), k)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in phrases.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, w in rows.items():
+        gone = {j for i in range(len(w) - 12) if low[tuple(w[i : i + 13])] < k for j in range(i, i + 13)}
+        assert got[k] == (len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
+    assert sum(n for _, n, _ in got.values()) > 500
+
+
 def test_lists_of_windows_come_back():
     rng = np.random.default_rng(1)
     rows = phrases._windows(rng.integers(0, 1 << 63, 9), rng.integers(0, 1 << 32, 9), rng.integers(-5, 5, 9), np.sort(rng.integers(0, 99, 9)))

@@ -21,6 +21,8 @@ left behind, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -68,6 +70,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Words of more bytes are hashed one by one, words at once, and for how many bytes of a lane which of its bits count.
+_LONG, _ONCE, _LANE = 64, 1 << 16, np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def hashed(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words raw[begin:end], in lanes of eight bytes. Equal words have equal ones, wherever they are."""
+    lanes, out = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,)), np.empty(len(begin), np.uint64)
+    for low in range(0, len(begin), _ONCE):
+        first, size = begin[low : low + _ONCE], end[low : low + _ONCE] - begin[low : low + _ONCE]
+        x = mixed(size.astype(np.uint64) * _MIX ^ (lanes[first] & _LANE[np.minimum(size, 8)]))
+        more = np.flatnonzero(size > 8)
+        for at in range(8, _LONG, 8):
+            x[more] = mixed(x[more] * _MIX ^ (lanes[first[more] + at] & _LANE[np.minimum(size[more] - at, 8)]))
+            more = more[size[more] > at + 8]
+        for i in more.tolist():
+            x[i] = xxhash.xxh3_64_intdigest(raw[first[i] : first[i] + size[i]])
+        out[low : low + _ONCE] = x
+    return out
+
+
 def runs_hash(words: np.ndarray, n: int, factor: int) -> np.ndarray:
     """A hash of every run of n words."""
     m = max(0, len(words) - n + 1)
@@ -111,31 +133,39 @@ def _each_shard(shards: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(shards[order], np.arange(1, n)))
 
 
-def _texts(ids: list, texts: bytes) -> list[list[bytes]]:
-    return [t.split(b" ") if t else [] for t in C.unpack(texts).split(b"\n")][: len(ids)]
-
-
 def _doc_ids(ids: list) -> np.ndarray:
     return np.array([_NULL_ID if i is None else i for i in ids], np.int64)
 
 
 class _Words:
-    """All words of a block, one text after the other: hashes, and the text at every place where a window starts."""
+    """All words of a block, one text after the other: where they begin and end, and which texts they are of.
+
+    raw: a text a line, its words joined by one blank.
+    """
+
+    def __init__(self, raw: bytes):
+        letters = np.frombuffer(raw, np.uint8)
+        gap = np.ones(len(raw) + 2, bool)
+        lines = letters == 10
+        np.logical_or(letters == 32, lines, out=gap[1:-1])
+        self.raw = raw
+        self.first, self.last = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        self.begin = np.concatenate([[0], np.searchsorted(self.first, np.flatnonzero(lines)), [len(self.first)]]).astype(np.int64)
 
-    def __init__(self, docs: list[list[bytes]], size: int):
-        self.counts = np.array([len(w) for w in docs], np.int64)
-        self.begin = C.starts(self.counts)
-        self.hashes = Hashed().words([w for doc in docs for w in doc])
-        # A window lies within one text: it starts at least size words before the end of the text.
-        starts = np.maximum(self.counts - size + 1, 0)
-        self.at = C.spans(self.begin[:-1], starts)
-        self.doc = np.repeat(np.arange(len(docs)), starts)
+    def hashes(self) -> np.ndarray:
+        return hashed(self.raw, self.first, self.last)
 
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every place where a window starts, and its text: at least size words before the end of it."""
+        starts = np.maximum(np.diff(self.begin) - size + 1, 0)
+        return C.spans(self.begin[:-1], starts), np.repeat(np.arange(len(starts)), starts)
 
-def _block_anchors(ids: list, docs: list[list[bytes]], size: int, anchor: int):
+
+def _block_anchors(ids: list, raw: bytes, size: int, anchor: int):
     """Distinct (anchor, smallest id, more than one id) of a block."""
-    words = _Words(docs, size)
-    keys, owners = anchored(words.hashes, size, anchor)[words.at], _doc_ids(ids)[words.doc]
+    words = _Words(raw)
+    at, doc = words.windows(size)
+    keys, owners = anchored(words.hashes(), size, anchor)[at], _doc_ids(ids)[doc]
     # Neighbouring windows mostly share their anchor.
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])]) if len(keys) else np.zeros(0, bool)
     return _by_key(keys[new], owners[new])
@@ -160,10 +190,10 @@ def blocks(docs: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
 
     def make(batches):
         for block, ids, texts in C.gathered(batches, limit):
-            words = [t.split() for t in texts]
-            keys, low, many = _block_anchors(ids, words, size, anchor)
+            raw = b"\n".join([b" ".join(t.split()) for t in texts])
+            keys, low, many = _block_anchors(ids, raw, size, anchor)
             lists = [C.pack(keys[p].tobytes() + low[p].tobytes() + np.packbits(many[p]).tobytes()) if len(p) else None for p in _each_shard(_shards(keys, n), n)]
-            yield C.rows(_BLOCK, [(block, ids, C.pack(b"\n".join(b" ".join(w) for w in words), 6), lists)])
+            yield C.rows(_BLOCK, [(block, ids, C.pack(raw, 6), lists)])
 
     return C.written(docs.mapInArrow(make, BLOCK), "block", n)
 
@@ -204,13 +234,14 @@ def _candidates(n: int, size: int, anchor: int):
             return _ANSWER.empty_table()
         repeated = np.sort(np.concatenate([C.unpack(x.as_py(), np.uint64) for x in right.column("data")]))
         ids = left.column("ids")[0].as_py()
-        words = _Words(_texts(ids, left.column("texts")[0].as_py()), size)
-        use = np.flatnonzero(_among(anchored(words.hashes, size, anchor)[words.at], repeated))
+        words = _Words(C.unpack(left.column("texts")[0].as_py()))
+        hashes, (at, doc) = words.hashes(), words.windows(size)
+        use = np.flatnonzero(_among(anchored(hashes, size, anchor)[at], repeated))
         if not len(use):
             return _ANSWER.empty_table()
-        x, y = window_hash(words.hashes, size)
-        at = words.at[use]
-        rows, many = _first(_windows(x[at], y[at], _doc_ids(ids)[words.doc[use]], at))
+        x, y = window_hash(hashes, size)
+        at = at[use]
+        rows, many = _first(_windows(x[at], y[at], _doc_ids(ids)[doc[use]], at))
         order = np.argsort(rows["at"])
         rows, many = rows[order], many[order]
         name = left.column("block")[0].as_py()
@@ -301,8 +332,7 @@ def _spell(size: int):
         if not left.num_rows or not right.num_rows:
             return _ANSWER.empty_table()
         ids = left.column("ids")[0].as_py()
-        docs = _texts(ids, left.column("texts")[0].as_py())
-        begin, numbers = C.starts(np.array([len(w) for w in docs], np.int64)), _doc_ids(ids)
+        words, numbers = _Words(C.unpack(left.column("texts")[0].as_py())), _doc_ids(ids)
         target, at = (np.concatenate(x) for x in zip(*(_wanted(x.as_py()) for x in right.column("data")), strict=True))
         order = np.lexsort((at, target))
         target, at = target[order], at[order].astype(np.int64)
@@ -312,8 +342,8 @@ def _spell(size: int):
             # Windows that overlap are one passage; they lie in one text, as each of them does.
             cut = np.concatenate([[0], np.flatnonzero(np.diff(own) >= size) + 1, [len(own)]])
             first, last = own[cut[:-1]], own[cut[1:] - 1] + size
-            where = np.searchsorted(begin, first, "right") - 1
-            texts = [b" ".join(docs[d][i:j]) for d, i, j in zip(where.tolist(), (first - begin[where]).tolist(), (last - begin[where]).tolist(), strict=True)]
+            where = np.searchsorted(words.begin, first, "right") - 1
+            texts = [words.raw[i:j] for i, j in zip(words.first[first].tolist(), words.last[last - 1].tolist(), strict=True)]
             out.append((int(target[low]), name & 0x7FFFFFFF, C.pack(np.array([len(texts)], np.int64).tobytes() + numbers[where].tobytes() + b"\n".join(texts))))
         return pa.Table.from_batches([C.rows(_ANSWER, out)])
 
@@ -334,36 +364,38 @@ def _rewrite(size: int, finish, arrow: pa.Schema):
         if not left.num_rows:
             return arrow.empty_table()
         ids = left.column("ids")[0].as_py()
-        docs = _texts(ids, left.column("texts")[0].as_py())
-        gone = [np.zeros(len(w), bool) for w in docs]
-        if right.num_rows:
-            passages = [p for x in right.column("data") for p in _passages(x.as_py())]
-            locate(passages, docs, _doc_ids(ids).tolist(), gone, size)
-        out = [(i, *finish(words, flags)) for i, words, flags in zip(ids, docs, gone, strict=True)]
+        texts = C.unpack(left.column("texts")[0].as_py()).split(b"\n")
+        passages = [p for x in right.column("data") for p in _passages(x.as_py())] if right.num_rows else []
+        out = [(i, *finish(text, gone)) for i, text, gone in zip(ids, texts, located(passages, texts, _doc_ids(ids).tolist(), size), strict=True)]
         return pa.Table.from_batches([C.rows(arrow, out)])
 
     return block
 
 
-def _spelt(words) -> str:
+def _spelt(text: bytes) -> str:
     """Words between blanks, so that a seed is only found at word ends."""
-    return f" {b' '.join(words).decode('utf-8', 'surrogateescape')} "
+    return f" {text.decode('utf-8', 'surrogateescape')} "
+
+
+def _counted(text: bytes) -> int:
+    """How many words there are in a text that has one blank between them."""
+    return text.count(b" ") + 1 if text else 0
 
 
 def seeded(passages: list[tuple[int, list[bytes]]], size: int) -> ahocorasick.Automaton | None:
-    """The automaton of the seeds of passages: every run of size words holds a whole seed. Each tells its length and (passage, place)s.
+    """The automaton of the seeds of passages: every run of size words holds a whole seed. Each tells its (passage, place)s.
 
     Its letters are characters: with words as letters the root would have as many branches as there are words.
     """
     seed, found = (size + 1) // 2, {}
     for k, (_, words) in enumerate(passages):
         for at in range(0, len(words) - seed + 1, seed):
-            found.setdefault(_spelt(words[at : at + seed]), []).append((k, at))
+            found.setdefault(_spelt(b" ".join(words[at : at + seed])), []).append((k, at))
     if not found:
         return None
     automaton = ahocorasick.Automaton()
     for spelt, places in found.items():
-        automaton.add_word(spelt, (len(spelt), places))
+        automaton.add_word(spelt, places)
     automaton.make_automaton()
     return automaton
 
@@ -389,20 +421,22 @@ def _agree_back(a: list[bytes], i: int, b: list[bytes], j: int) -> int:
     return n
 
 
-def locate(passages: list[tuple[int, list[bytes]]], docs: list[list[bytes]], numbers: list[int], gone: list[np.ndarray], size: int) -> None:
-    """Flags the words of docs under every run of size words or more that a passage of a smaller id holds too."""
+def located(passages: list[tuple[int, list[bytes]]], texts: list[bytes], numbers: list[int], size: int) -> Iterator[np.ndarray | None]:
+    """For each text, flags of its words under every run of size words or more that a passage of a smaller id holds too; None where there are none.
+
+    A text has one blank between its words. Only one in which a seed is found is split.
+    """
     automaton, seed = seeded(passages, size), (size + 1) // 2
-    if automaton is None:
-        return
-    for doc, words, flags in zip(numbers, docs, gone, strict=True):
-        if len(words) < size:
+    for doc, text in zip(numbers, texts, strict=True):
+        if automaton is None or _counted(text) < size:
+            yield None
             continue
-        text, places, done = _spelt(words), None, {}
-        for end, (length, known) in automaton.iter(text):
-            if places is None:  # the word that starts after each blank
-                long = np.fromiter(map(len, text[1:-1].split(" ")), np.int64, len(words))
-                places = dict(zip((C.starts(long + 1)[:-1]).tolist(), range(len(words)), strict=True))
-            i = places[end - length + 1]
+        spelt, words, gone, done, blanks, seen = _spelt(text), [], None, {}, 0, 0
+        for end, known in automaton.iter(spelt):
+            words = words or text.split(b" ")
+            # Seeds are found in order of their ends: as many words end there as there are blanks, but for the first one.
+            blanks, seen = blanks + spelt.count(" ", seen, end + 1), end + 1
+            i = blanks - 1 - seed
             for k, j in known:
                 low, own = passages[k]
                 # Along a match that is known already there is nothing new.
@@ -412,7 +446,17 @@ def locate(passages: list[tuple[int, list[bytes]]], docs: list[list[bytes]], num
                 done[k, i - j] = right
                 left = i - _agree_back(words, i, own, j)
                 if right - left >= size:
-                    flags[left:right] = True
+                    if gone is None:
+                        gone = np.zeros(len(words), bool)
+                    gone[left:right] = True
+        yield gone
+
+
+def locate(passages: list[tuple[int, list[bytes]]], docs: list[list[bytes]], numbers: list[int], gone: list[np.ndarray], size: int) -> None:
+    """Flags the words of docs that located tells."""
+    for flags, found in zip(gone, located(passages, [b" ".join(words) for words in docs], numbers, size), strict=True):
+        if found is not None:
+            flags |= found
 
 
 def _grouped(lists: DataFrame, f) -> DataFrame:
@@ -437,8 +481,8 @@ def _passed(docs: DataFrame, finish, schema: list[tuple], id_col: str, text: str
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WORDS, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed and text: the words that are left, joined by one blank."""
 
-    def finish(words, gone):
-        kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
-        return len(words), int(gone.sum()), kept.decode("utf-8", "replace")
+    def finish(text, gone):
+        kept = text if gone is None else b" ".join(compress(text.split(b" "), (~gone).tolist()))
+        return _counted(text), 0 if gone is None else int(gone.sum()), kept.decode("utf-8", "replace")
 
     return _passed(docs, finish, [("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())], id_col, text, size, anchor)
