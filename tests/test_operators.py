@@ -313,6 +313,37 @@ def test_points_of_activities_are_not_exchanged(spark):
     assert 0 < most(points, "exchanged") < 40_000
 
 
+def test_points_of_activities_need_little_disk(spark):
+    logs, fixes = crowded(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on large tables
+    try:
+        points = A.extracted(logs, fixes.withColumn("note", F.repeat(F.lit("x"), 1000)), keep=["row"])
+        assert len(points.collect()) == 320_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "note" not in points.columns
+    assert 0 < most(points, "exchanged") <= 400 * 5  # a row for each part of a day; for each hour before
+
+
+@pytest.mark.parametrize("odd", [0, 1])
+def test_points_of_activities_with_some_columns(spark, odd, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 7)
+    logs, fixes, *_ = many_logs_and_fixes(spark, odd)
+    whole, some = A.extracted(logs, fixes, gap_s=3600), A.extracted(logs, fixes, gap_s=3600, keep=["lat"])
+    assert not {"row", "lon"} & set(some.columns)
+    assert sorted(map(str, whole.select(*some.columns).collect())) == sorted(map(str, some.collect()))
+
+
+def test_activities_of_more_than_a_year(spark):
+    d = datetime(2024, 1, 1, 9)
+    logs = spark.createDataFrame([(1, "Walk", 1, d, 400 * 86_400_000, True), (2, "Walk", 1, d, 366 * 86_400_000, True)], "log_id long, name string, type_id long, start timestamp_ntz, duration_ms long, has_gps boolean")
+    at = [d + timedelta(days=n, hours=h) for n in (0, 10, 365, 366, 367) for h in (-1, 0, 14)]
+    fixes = spark.createDataFrame([(t.date(), i, t, 47.0, "Phone") for i, t in enumerate(at)], "day date, row long, time timestamp, lat double, source string")
+    held = sorted((r.log_id, r.row) for r in A.joined(A.windows(logs), fixes).collect())
+    assert sorted((r.log_id, r.row) for r in A.extracted(logs, fixes).collect()) == held == [(1, i) for i in range(1, 12)] + [(2, i) for i in range(1, 10)]
+    assert {(r.log_id, r.fixes) for r in A.choose_sources(A.windows(logs), fixes).collect()} == {(1, 11), (2, 9)}
+
+
 def test_the_offset_is_measured(spark):
     logs, fixes = logs_and_fixes(spark)
     shifted = logs.withColumn("start", F.expr("start - interval 4 hours"))
